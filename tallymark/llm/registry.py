@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tallymark.llm.sentencepiece_codec import op5_sentencepiece
+from tallymark.llm.simhash_vptree import op9_simhash
+from tallymark.llm.suffix_dedup import op10_suffix_dedup
 from tallymark.llm.token_counts import op7_token_counts
 
 
@@ -10,6 +12,8 @@ def queries() -> dict:
     return {
         "op5_sentencepiece": op5_sentencepiece,
         "op7_token_counts": op7_token_counts,
+        "op9_simhash": op9_simhash,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
