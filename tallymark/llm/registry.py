@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from tallymark.llm.decontamination import op2_decontamination
+from tallymark.llm.quality_mcd import op3_quality
 from tallymark.llm.sentencepiece_codec import op5_sentencepiece
 from tallymark.llm.simhash_vptree import op9_simhash
 from tallymark.llm.suffix_dedup import op10_suffix_dedup
 from tallymark.llm.token_counts import op7_token_counts
+from tallymark.llm.toxicity_chain import op8_toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_decontamination": op2_decontamination,
+        "op3_quality": op3_quality,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_token_counts": op7_token_counts,
+        "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
