@@ -23,7 +23,7 @@ from tallymark.llm.common import table, written
 
 BITS = 64
 SEED = 42  # of the hash, as the fingerprint's definition has it
-SHARD = 16_384  # points of a leaf, about
+SHARD = 65_536  # points of a leaf, about
 LEAF = 1_024  # points below which a leaf compares all with all
 BLOCK = 1 << 21  # comparisons held at once
 MAX_DEPTH = 40
