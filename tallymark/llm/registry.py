@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tallymark.llm.decontamination import op2_decontamination
 from tallymark.llm.quality_mcd import op3_quality
+from tallymark.llm.secret_scan import op4_secret_scan
 from tallymark.llm.sentencepiece_codec import op5_sentencepiece
 from tallymark.llm.simhash_vptree import op9_simhash
 from tallymark.llm.suffix_dedup import op10_suffix_dedup
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
+        "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_token_counts": op7_token_counts,
         "op8_toxicity": op8_toxicity,
