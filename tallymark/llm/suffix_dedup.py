@@ -209,13 +209,12 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: in
     A bucket of more than hot kinds of rows is not sorted in one place: its suffixes go out as names, and are counted.
     """
     rows = written(find_runs(docs.select("key", "text"), span, gram), "runs")
-    buckets = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("s").alias("s"), F.max("s").alias("t"))
-    live = written(rows.join(buckets.filter("n > 1").select("g", (F.col("s") != F.col("t")).alias("mixed")), "g"), "live")
-    kinds = live.groupBy("g", "s", "mixed").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
+    buckets = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    live = written(rows.join(buckets, "g"), "live")
+    kinds = live.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
     alike = live.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"], "left_semi").select("key", "first", (F.col("first") + F.col("count")).alias("last"))
-    mixed = kinds.filter("mixed")
-    many = mixed.groupBy("g").agg((F.count("*") > hot).alias("hot"))
-    sent = written(mixed.join(many, "g").select("g", "s", "n", "hot", "one.key", "one.first", "one.count"), "kinds")
+    many = kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", (F.col("k") > hot).alias("hot"))
+    sent = written(kinds.join(many, "g").select("g", "s", "n", "hot", "one.key", "one.first", "one.count"), "kinds")
     by_doc = sent.groupBy("key").agg(F.collect_list(F.struct("g", "s", "n", "first", "count", "hot")).alias("r"))
     schema = "g bigint, s bigint, n bigint, count int, bytes binary, offset int, name bigint"
 
@@ -247,7 +246,6 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: in
     if sent.filter("hot").isEmpty():
         found = sorted_blocks(shipped, span)
     else:
-        shipped = written(shipped, "suffixes")
         names = shipped.filter("bytes is null")
         again = names.groupBy("g", "name").agg(F.sum("n").alias("times")).filter("times > 1").select("g", "name")
         counted = names.filter("n = 1").join(again, ["g", "name"], "left_semi").select("g", "s", "offset", F.lit(1).alias("length"))
