@@ -20,6 +20,7 @@ SHAPES: dict[str, dict[str, str]] = {
 }
 NULLABLE = {"invoice_ref", "utr", "narration", "status", "customer_name"}
 POSITIVE, NOT_NEGATIVE = {"invoice_amount_paise", "gross_amount_paise"}, {"fee_paise", "gst_on_fee_paise", "tds_paise", "credit_paise", "debit_paise"}
+OWN = ("run_id", "file", "file_seq", "raw")
 FILES = {"invoices": "ledger_invoices.csv", "settlements": "pg_settlements.csv", "bank": "bank_statement.csv"}
 
 
@@ -45,7 +46,7 @@ def scan_csv(spark: SparkSession, path: str, columns: list[str], run_id: str) ->
     names = [h.strip() for h in next(iter(__import__("csv").reader([head["value"]])))]
     cells = F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names)), {"nullValue": "\0", "emptyValue": "", "mode": "PERMISSIVE"})
     rows = lines.filter((F.col("file_seq") != head["file_seq"]) & (F.col("value") != "")).withColumn("c", cells)
-    every = list(dict.fromkeys([*columns, *names]))
+    every = [c for c in dict.fromkeys([*columns, *names]) if c not in OWN]  # a cell named like our own columns is not taken
     return rows.select(F.lit(run_id).alias("run_id"), "file", "file_seq", F.col("value").alias("raw"), *[(F.coalesce(F.col("c").getField(n), F.lit("")) if n in names else F.lit("")).alias(n) for n in every])
 
 
@@ -81,7 +82,7 @@ def deduplicated(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 def ingest(rows: DataFrame, kind: str, columns: list[str] | None = None, seen: DataFrame | None = None) -> dict[str, DataFrame]:
     """rows(run_id, file, file_seq, raw, cells...) to loaded, quarantine, report. Extra columns count for the fingerprint only."""
     shape = SHAPES[kind]
-    cells = columns or [c for c in rows.columns if c not in ("run_id", "file", "file_seq", "raw")]
+    cells = columns or [c for c in rows.columns if c not in OWN]
     marked = deduplicated(rows.withColumn("row_sha256", fingerprint(cells)), seen).withColumn("errors", errors(shape))
     good = F.size("errors") == 0
     values = [F.when(stripped(F.col(c)) != "", stripped(F.col(c)).try_cast(t)).alias(c) if t != TEXT else stripped(F.col(c)).alias(c) for c, t in shape.items()]
@@ -99,9 +100,9 @@ def load_batch(spark: SparkSession, folder: str, run_id: str, seen: DataFrame |
     return {kind: ingest(scan_csv(spark, f"{folder}/{name}", list(SHAPES[kind]), run_id), kind, seen=seen) for kind, name in FILES.items()}
 
 
-def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One file with header and LF, rows in a fixed order: for fixtures of bounded size."""
-    df.repartitionByRange(1, *order).sortWithinPartitions(*order).write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(path)
+def write_csv(df: DataFrame, path: str, order: list[str], columns: list[str]) -> None:
+    """One file of these columns with header and LF, rows in a fixed order: for fixtures of bounded size."""
+    df.repartitionByRange(1, *order).sortWithinPartitions(*order).select(*columns).write.option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(path)
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
