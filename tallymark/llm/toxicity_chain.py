@@ -24,10 +24,12 @@ from tallymark.llm.common import table
 SAMPLE = 5_000  # labelled rows used for fitting, at most
 SAMPLE_CHARS = 60_000_000  # characters of them that go to the driver, at most
 FEATURES = 1_500  # for each category
+LEAST_ROWS = 3  # with a feature
+LEAST_CHI = 16.0  # its chi-square against the category
 FOLDS = 3
 ROUNDS = 120
 L2 = 0.3
-BEGINNINGS = (4, 5)
+BEGINNINGS = (4, 5, 6, 7)
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡"
 
 
@@ -59,10 +61,10 @@ class Linear:
             both.update(row)
             if label:
                 only.update(row)
-        # Features in two rows at least, by how far their rate in the category is from chance.
+        # Features in LEAST_ROWS rows at least whose rate in the category is far from chance, farthest first.
         rate = positive / n
-        score = {f: (only[f] - rate * c) ** 2 / (rate * (1 - rate) * c) for f, c in both.items() if c > 1}
-        chosen = sorted(score, key=lambda f: (-score[f], f))[:FEATURES]
+        score = {f: (only[f] - rate * c) ** 2 / (rate * (1 - rate) * c) for f, c in both.items() if c >= LEAST_ROWS}
+        chosen = sorted((f for f, s in score.items() if s >= LEAST_CHI), key=lambda f: (-score[f], f))[:FEATURES]
         index = {f: k for k, f in enumerate(chosen)}
         cells = [(k, index[f]) for k, row in enumerate(rows) for f in sorted(row & index.keys())]
         i, j = np.array(cells, np.int64).reshape(-1, 2).T
