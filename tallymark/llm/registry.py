@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallymark.llm import oracles
 from tallymark.llm.decontamination import op2_decontamination
 from tallymark.llm.language_fusion import op6_language
 from tallymark.llm.quality_mcd import op3_quality
@@ -30,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
