@@ -11,8 +11,8 @@ with the corpus; each text is then scored where it lies, in one pass without a s
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from tallymark.llm.common import table
 SAMPLE = 5_000  # labelled rows used for fitting, at most
 SAMPLE_CHARS = 60_000_000  # characters of them that go to the driver, at most
 FEATURES = 1_500  # for each category
+BUCKETS = 1 << 22  # numbers of features in training
 LEAST_ROWS = 3  # with a feature
 LEAST_CHI = 16.0  # its chi-square against the category
 FOLDS = 3
@@ -45,48 +46,73 @@ def features(text: str) -> set[str]:
     return out
 
 
+def bucketed(text: str) -> np.ndarray:
+    """The features' numbers; training counts by number, so that it holds no text of features."""
+    return np.unique(np.fromiter((crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for f in features(text)), np.int64))
+
+
+def probability(z):
+    return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
+
+
 class Linear:
     """Logistic regression over present features and dense columns."""
 
-    def __init__(self, weights: dict[str, float], dense: np.ndarray, bias: float):
-        self.weights, self.dense, self.bias = weights, dense, bias
+    def __init__(self, chosen: np.ndarray, weight: np.ndarray, dense: np.ndarray, bias: float):
+        self.chosen, self.weight, self.dense, self.bias = chosen, weight, dense, bias  # chosen: numbers, ascending
+        self.weights: dict[str, float] = {}
 
     @classmethod
-    def fit(cls, rows: list[set[str]], dense: np.ndarray, y: np.ndarray) -> Linear:
+    def fit(cls, rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray) -> Linear:
         n, positive = len(rows), int(y.sum())
+        none = np.zeros(0, np.int64)
         if positive in (0, n):
-            return cls({}, np.zeros(dense.shape[1]), math.log((positive + 0.5) / (n - positive + 0.5)))
-        both, only = Counter(), Counter()
-        for row, label in zip(rows, y.tolist()):
-            both.update(row)
-            if label:
-                only.update(row)
+            return cls(none, np.zeros(0), np.zeros(dense.shape[1]), math.log((positive + 0.5) / (n - positive + 0.5)))
+        cell, row = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
+        both = np.bincount(cell, minlength=BUCKETS)
+        only = np.bincount(cell[y[row] > 0], minlength=BUCKETS)
         # Features in LEAST_ROWS rows at least whose rate in the category is far from chance, farthest first.
         rate = positive / n
-        score = {f: (only[f] - rate * c) ** 2 / (rate * (1 - rate) * c) for f, c in both.items() if c >= LEAST_ROWS}
-        chosen = sorted((f for f, s in score.items() if s >= LEAST_CHI), key=lambda f: (-score[f], f))[:FEATURES]
-        index = {f: k for k, f in enumerate(chosen)}
-        cells = [(k, index[f]) for k, row in enumerate(rows) for f in sorted(row & index.keys())]
-        i, j = np.array(cells, np.int64).reshape(-1, 2).T
-        w, d, b = np.zeros(len(chosen)), np.zeros(dense.shape[1]), math.log(rate / (1 - rate))
+        held = np.flatnonzero(both >= LEAST_ROWS)
+        score = (only[held] - rate * both[held]) ** 2 / (rate * (1 - rate) * both[held])
+        held, score = held[score >= LEAST_CHI], score[score >= LEAST_CHI]
+        chosen = np.sort(held[np.argsort(-score, kind="stable")[:FEATURES]])
+        model = cls(chosen, np.zeros(len(chosen)), np.zeros(dense.shape[1]), math.log(rate / (1 - rate)))
+        i, j = model._cells(cell, row)
+        w, d, b = model.weight, model.dense, model.bias
         seen = np.zeros(len(chosen) + dense.shape[1] + 1)
         weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
         for _ in range(ROUNDS):  # full-batch steps with rates by coordinate
             z = np.bincount(i, weights=w[j], minlength=n) + dense @ d + b
-            gap = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            gap = weight * (probability(z) - y)
             grad = np.concatenate([np.bincount(j, weights=gap[i], minlength=len(w)) + L2 * w, gap @ dense + L2 * d, [gap.sum()]])
             seen += grad * grad
             step = 0.5 * grad / (np.sqrt(seen) + 1e-9)
             w, d, b = w - step[: len(w)], d - step[len(w) : -1], b - step[-1]
-        return cls({f: float(w[k]) for f, k in index.items()}, d, float(b))
+        model.weight, model.dense, model.bias = w, d, float(b)
+        return model
+
+    def _cells(self, cell: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in chosen) of the cells that are chosen."""
+        if not len(self.chosen):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.chosen, cell), len(self.chosen) - 1)
+        hit = self.chosen[at] == cell
+        return row[hit], at[hit]
+
+    def predict(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
+        if not rows:
+            return np.zeros(0)
+        i, j = self._cells(np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]))
+        return probability(np.bincount(i, weights=self.weight[j], minlength=len(rows)) + dense @ self.dense + self.bias)
+
+    def name(self, found: set[str]) -> None:
+        """Give the weights of numbers to the features that had them in training."""
+        weight = dict(zip(self.chosen.tolist(), self.weight.tolist()))
+        self.weights = {f: weight[k] for f in found if (k := crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)) in weight}
 
     def logit(self, row: set[str], dense: list[float]) -> float:
-        get = self.weights.__getitem__
-        return self.bias + math.fsum(map(get, sorted(row & self.weights.keys()))) + sum(a * b for a, b in zip(self.dense.tolist(), dense))
-
-
-def probability(z: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.bias + math.fsum(map(self.weights.__getitem__, sorted(row & self.weights.keys()))) + sum(a * b for a, b in zip(self.dense.tolist(), dense))
 
 
 class Chain:
@@ -96,25 +122,33 @@ class Chain:
     @classmethod
     def fit(cls, texts: list[str], labels: dict[str, list[int]]) -> Chain:
         """labels: by category, in chain order."""
-        rows = [features(t) for t in texts]
+        rows = [bucketed(t) for t in texts]
         fold = np.arange(len(rows)) % FOLDS
         earlier, models = np.zeros((len(rows), 0)), []
-        for category, told in labels.items():
+        for told in labels.values():
             y = np.array(told, float)
             out = np.zeros(len(rows))
             for k in range(FOLDS):
-                rest = np.flatnonzero(fold != k)
-                part = Linear.fit([rows[r] for r in rest], earlier[rest], y[rest]) if len(rest) else Linear({}, np.zeros(earlier.shape[1]), 0.0)
-                for r in np.flatnonzero(fold == k).tolist():
-                    out[r] = probability(part.logit(rows[r], earlier[r].tolist()))
-            models.append(Linear.fit(rows, earlier, y) if rows else Linear({}, np.zeros(earlier.shape[1]), -30.0))
+                rest, own = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+                if len(rest) and len(own):
+                    part = Linear.fit([rows[r] for r in rest], earlier[rest], y[rest])
+                    out[own] = part.predict([rows[r] for r in own], earlier[own])
+            none = Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), -30.0)
+            models.append(Linear.fit(rows, earlier, y) if rows else none)
             earlier = np.column_stack([earlier, out])
+        wanted = np.unique(np.concatenate([m.chosen for m in models])) if models else np.zeros(0, np.int64)
+        held = set(wanted.tolist())
+        found: set[str] = set()
+        for text in texts:
+            found |= {f for f in features(text) if crc32(f.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) in held}
+        for model in models:
+            model.name(found)
         return cls(list(labels), models)
 
     def predict(self, text: str) -> list[float]:
         row, out = features(text), []
         for model in self.models:
-            out.append(probability(model.logit(row, out)))
+            out.append(float(probability(model.logit(row, out))))
         return out
 
 
