@@ -1,9 +1,15 @@
 """Benchmark decontamination by templates.
 
 Words become template tokens: numbers, units and names turn into typed placeholders whose words are the slot's values. The
-windows of an item's template are matched by hash against those of each document and compared word for word; along one
-alignment a slot value of the item must always stand for the same value in the document, and two names never for one name, or
-the window does not count. A document that holds the share `least` of an item's windows is contaminated, also where the
+windows of an item's template are matched by hash against those of each document; along each alignment that a window gives, all
+windows are compared word for word. There a slot value of the item must always stand for the same value in the document, and two
+names never for one name, or the window does not count.
+
+What a name is does not hang on lines, sentences or the document's case: a word that the item has capitalised within a sentence
+is a name wherever it is capitalised there; a capitalised word that only begins lines or sentences can be one unless the item also
+has it in lower case; in an item without two cases each word can be one where the document has it capitalised. Each of them
+matches its own word in any case, or another word as a name. The less sure it is that a word is a name, the more of the window
+must agree otherwise. A document that holds the share `least` of an item's windows is contaminated, also where the
 question came back with other numbers, names or units.
 
 The benchmark goes to the executors in blocks of a checked size; a larger benchmark takes more passes over the documents.
@@ -69,24 +75,53 @@ def opening(text: str, words: list[str]) -> np.ndarray:
     return out[:-1]
 
 
+def capitalised(core: str) -> bool:
+    return len(core) > 1 and core[0].isupper() and core[1:].islower()
+
+
+class Item:
+    """An item's words: literal token numbers, slot values, and which words are names (sure) or can be (maybe)."""
+
+    def __init__(self, item_id: int, text: str, words: list[str], number: dict[str, int]):
+        self.id = item_id
+        opens = opening(text, words)
+        inner = [template(w, False) for w in words]
+        names = {v for (t, v), o in zip(inner, opens) if t == NAME and not o}
+        plain = {t for t, v in inner if not v}
+        self.sure = np.array([t == NAME and v in names for t, v in inner])
+        self.maybe = np.array([t == NAME and v not in names and v not in plain for t, v in inner])
+        self.caseless = text.islower() or text.isupper()
+        self.values = [v or t for t, v in inner]
+        self.slot = [bool(v) and t != NAME for t, v in inner]
+        self.literal = np.array([number.setdefault(v if t == NAME else t, len(number) + 1) for t, v in inner], np.int64)
+
+
 class Matcher:
     """Windows of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, least: float = LEAST):
         self.window, self.least = window, least
-        self.number: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray, list[str]]] = []
+        self.number: dict[str, int] = {NAME: 1}
+        self.items: list[Item] = []
+        self.names: set[str] = set()
         self.places: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item_id, text in items:
             words = (text or "").split()
             if not words:
                 continue
-            found = [template(w, bool(o)) for w, o in zip(words, opening(text, words))]
-            ids = np.array([self.number.setdefault(t, len(self.number) + 1) for t, _ in found], np.int64)
-            size = min(window, len(ids))
-            for q, h in enumerate(self.hashes(ids, size).tolist()):
-                self.places.setdefault(size, {}).setdefault(h, []).append((len(self.items), q))
-            self.items.append((item_id, ids, [v for _, v in found]))
+            item = Item(item_id, text, words, self.number)
+            size = min(window, len(words))
+            at = self.places.setdefault(size, {})
+            # Names as their own words, sure ones as <name>, and possible ones too; a window keeps a word that is no name.
+            seen: set[tuple[int, int]] = set()
+            for masked in (None, item.sure, item.sure | item.maybe):
+                ids = item.literal if masked is None else np.where(masked, 1, item.literal)
+                for q, h in enumerate(self.hashes(ids, size).tolist()):
+                    if (masked is None or not masked[q : q + size].all() or item.sure.all()) and (q, h) not in seen:
+                        seen.add((q, h))
+                        at.setdefault(h, []).append((len(self.items), q))
+            self.names |= {v for v, s in zip(item.values, item.sure) if s}
+            self.items.append(item)
         self.sorted = {size: np.sort(np.fromiter(at.keys(), np.uint64, len(at))) for size, at in self.places.items()}
         self.memo: dict[str, int] = {}
 
@@ -103,8 +138,14 @@ class Matcher:
         return out
 
     def _learn(self, word: str) -> int:
-        """Numbers of the word's token in mid-sentence and at an opening, as one integer; 0: in no item."""
-        a, b = (self.number.get(template(word, opens)[0], 0) for opens in (False, True))
+        """Numbers of the word as itself and as a name, as one integer; a word in no item can only be a name."""
+        token, value = template(word, False)
+        plain = self.number.get(value if token == NAME else token, 0)
+        if token != NAME and value:
+            a = b = plain
+        else:
+            a = plain or 1
+            b = 1 if token == NAME or token in self.names else a
         if len(self.memo) >= MAX_MEMO:
             self.memo.clear()
         self.memo[word] = found = a << 32 | b
@@ -116,51 +157,76 @@ class Matcher:
         if not words or not self.items:
             return []
         get = self.memo.get
-        codes = np.array([get(w) if get(w) is not None else self._learn(w) for w in words], np.int64)
-        inner, first = codes >> 32, codes & 0xFFFFFFFF
-        ids = np.where(opening(text, words), first, inner) if (inner != first).any() else first
-        held: dict[int, dict[int, set[int]]] = {}
+        codes = np.array([self._learn(w) if (c := get(w)) is None else c for w in words], np.int64)
+        plain, named = codes >> 32, codes & 0xFFFFFFFF
+        lines: dict[int, set[int]] = {}
         for size, known in self.sorted.items():
-            h = self.hashes(ids, size)
-            if not len(h):
-                continue
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for p in np.flatnonzero(known[at] == h).tolist():
-                for item, q in self.places[size][int(h[p])]:
-                    held.setdefault(item, {}).setdefault(p - q, set()).add(q)
+            for ids in (plain, named) if (plain != named).any() else (plain,):
+                h = self.hashes(ids, size)
+                if not len(h):
+                    continue
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                for p in np.flatnonzero(known[at] == h).tolist():
+                    for item, q in self.places[size][int(h[p])]:
+                        lines.setdefault(item, set()).add(p - q)
         out = []
-        for item, lines in held.items():
-            item_id, item_ids, values = self.items[item]
-            size = min(self.window, len(item_ids))
-            total = len(item_ids) - size + 1
-            if len(set().union(*lines.values())) < self.least * total:
+        for k, shifts in lines.items():
+            item = self.items[k]
+            size = min(self.window, len(item.literal))
+            total = len(item.literal) - size + 1
+            fits = {shift: self.fitting(item, plain, named, shift, size) for shift in sorted(shifts)}
+            if len(set().union(*fits.values())) < self.least * total:
                 continue
             good: set[int] = set()
-            for shift, qs in lines.items():
-                good |= self.consistent(item_ids, values, ids, words, shift, sorted(qs), size)
+            for shift, qs in fits.items():
+                good |= self.consistent(item, plain, words, shift, qs, size)
             if len(good) >= self.least * total:
-                out.append((item_id, len(good) / total))
+                out.append((item.id, len(good) / total))
         return out
 
     @staticmethod
-    def consistent(item_ids, values, ids, words, shift: int, qs: list[int], size: int) -> set[int]:
-        """Of the windows at qs, those whose words agree and whose slots keep the values that earlier windows gave them."""
+    def fitting(item: Item, plain: np.ndarray, named: np.ndarray, shift: int, size: int) -> list[int]:
+        """The item's windows whose words all agree or can be names, along one alignment."""
+        low, high = max(0, -shift), min(len(item.literal), len(plain) - shift)
+        if high - low < size:
+            return []
+        said = plain[low + shift : high + shift]
+        free = item.sure[low:high] | item.maybe[low:high]
+        if item.caseless:
+            free = free | (named[low + shift : high + shift] == 1)
+        wrong = np.concatenate([[0], np.cumsum((item.literal[low:high] != said) & ~free)])
+        return (low + np.flatnonzero(wrong[size:] == wrong[:-size])).tolist()
+
+    def consistent(self, item: Item, plain: np.ndarray, words: list[str], shift: int, qs: list[int], size: int) -> set[int]:
+        """Of the windows at qs, those whose slots keep the values that earlier windows gave them, and that hold enough besides names."""
         said: dict[tuple[int, str], str] = {}
         names: dict[str, str] = {}
+        found: dict[int, tuple[str, str, str]] = {}
         good = set()
+        short = size < self.window
         for q in qs:
-            if (item_ids[q : q + size] != ids[q + shift : q + shift + size]).any():
-                continue
-            new, back, fits = {}, {}, True
+            new, back, fits, agree, need = {}, {}, True, 0, 0
             for k in range(q, q + size):
-                if not values[k]:
+                same = item.literal[k] == plain[k + shift]
+                agree += bool(same)
+                name = item.sure[k] or item.maybe[k] or not same
+                if not (name or item.slot[k]):
                     continue
-                token, value = template(words[k + shift], False)
-                slot = (int(item_ids[k]), values[k])
+                if k not in found:
+                    word = words[k + shift]
+                    token, value = template(word, False)
+                    found[k] = token, value or token, word.strip(EDGE)
+                token, value, core = found[k]
+                own = item.values[k]
+                slot = (1 if name else int(item.literal[k]), own)
                 fits &= said.get(slot, new.setdefault(slot, value)) == value
-                if token == NAME:
-                    fits &= names.get(value, back.setdefault(value, values[k])) == values[k]
-            if fits:
+                if name:
+                    fits &= names.get(value, back.setdefault(value, own)) == own
+                if not same:
+                    fits &= token == NAME or (bool(core) and token == value)
+                    clear = item.sure[k] and capitalised(core)
+                    need = max(need, int(short) if clear else 3 if short else 2)
+            if fits and agree >= need:
                 said |= new
                 names |= back
                 good.add(q)

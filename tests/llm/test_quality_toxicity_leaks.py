@@ -130,3 +130,21 @@ def test_contaminated_rows(spark):
         assert all(want[k] <= set(got[k]["items"]) for k in want) and all(got[k].contaminated == bool(got[k]["items"]) for k in want)
     assert dc.contamination(df, bench.limit(0)).filter("contaminated").count() == 0
     assert dc.contamination(df.limit(0), bench, keep=True).columns == ["doc_id", "text", "items", "share", "contaminated"]
+
+
+def test_names_at_openings_and_in_other_cases():
+    tom = "Tom has 3 apples. Tom buys 4 more. How many apples does Tom have?"
+    found = dc.Matcher([(1, tom)])
+    anna = tom.replace("Tom", "Anna").replace("3", "8")
+    for text in (anna, anna.lower(), anna.upper(), anna.replace(" ", "\n"), tom.lower(), tom.replace("Tom b", "Anna b").replace("Tom", "Anna")):
+        assert found.find("some words before. " + text + " And after.") == [(1, 1.0)], text
+    assert found.find(anna.replace("does Anna", "does Bob"))[:1] in ([], [(1, 0.8)]) and found.find(tom.replace("apples", "pears").replace("buys", "sells")) == []
+    bob = "Tom has 3 apples. He buys 4 more. How many apples has he now?"  # the name only opens
+    for text in (bob.replace("Tom", "Anna"), bob.replace("Tom", "anna"), bob.lower()):
+        assert dc.Matcher([(1, bob)]).find(text) == [(1, 1.0)]
+    one = "Each morning the baker Alice makes many loaves of bread and sells them all before noon to people of the town"
+    for text in (one.lower(), one.upper(), one.replace(" Alice", "\nAlice"), one.replace("baker", "baker.")):
+        assert dc.Matcher([(1, one)]).find(text) == [(1, 1.0)]
+    assert dc.Matcher([(1, tom.lower())]).find(anna) == [(1, 1.0)] and dc.Matcher([(1, tom.upper())]).find(anna) == [(1, 1.0)]
+    few = dc.Matcher([(1, "Die Ber"), (2, "Paris"), (3, "La. De. Der"), (4, "Will pay.\nWho? Nobody. Never. Ever")])
+    assert few.find("Hello Big World. Other die words. Ach de ber der La ist. Very Nice Town. People Go Out.") == []
