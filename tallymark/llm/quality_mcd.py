@@ -1,13 +1,15 @@
 """Quality rules: base limits, and robust multivariate outliers for each language and source.
 
 Statistics of each text become a vector of transformed values. Each group's location and scatter come from a minimum covariance
-determinant estimate: from medians and median deviations, concentration steps take the COVERED share of the group with the least
-distance and compute mean and covariance anew. A text is rejected if its squared Mahalanobis distance is beyond the cutoff.
+determinant estimate: from medians and median deviations, concentration steps take the COVERED half of the group with the least
+distance and compute mean and covariance anew, until no group's limit changes. So nearly half of a group can be junk of one kind
+without drawing the estimate to it. A text is rejected if its squared Mahalanobis distance is beyond the cutoff.
 Everything is in DataFrame functions; groups with few rows are judged by their language's estimate, or by that of all.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,10 +17,24 @@ from pyspark.sql import functions as F
 
 from tallymark.llm.common import table, words, written
 
-COVERED = 0.75
-STEPS = 3
+COVERED = 0.5  # full breakdown: (n + p + 1) / 2 rows but for three at most
+STEPS = 40  # at most, if the limits still change
+SETTLED = 1e-9  # relative change of a limit that counts as none
 FEW = 200  # rows below which a group has no estimate of its own
-CUTOFF = 200.0  # of the squared distance in five dimensions, after scaling to the median of a chi-square
+LEVEL = 1e-20  # share of normal texts beyond the cutoff; so small since good texts are not normal: at 0.001 some 5 percent of them go
+
+
+def chi2_cutoff(level: float) -> float:
+    """The distance that a chi-square with five degrees of freedom exceeds with this probability, by bisection."""
+    tail = lambda x: math.erfc(math.sqrt(x / 2)) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2) * (1 + x / 3)
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tail(middle) > level else (low, middle)
+    return high
+
+
+CUTOFF = chi2_cutoff(LEVEL)  # of the squared distance, after scaling to the median of a chi-square
 CHI2_MEDIAN = 4.351  # fixed value: median of a chi-square with five degrees of freedom
 MAX_BROADCAST_GROUPS = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -78,9 +94,9 @@ def vectors() -> list[Column]:
     ]
 
 
-def with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, few: bool | None = None) -> DataFrame:
     """rows joined with a table of one row a group, broadcast only if it has few."""
-    few = groups.count() <= MAX_BROADCAST_GROUPS
+    few = groups.count() <= MAX_BROADCAST_GROUPS if few is None else few
     return rows.join(F.broadcast(groups) if few else groups, "group", "left")
 
 
@@ -94,9 +110,9 @@ def factored(est: DataFrame) -> DataFrame:
     return est.select("group", *[f"m_{j}" for j in range(len(X))], *[f"d_{j}" for j in range(len(X))], *[f"l_{i}_{j}" for i in range(len(X)) for j in range(i)])
 
 
-def distances(rows: DataFrame, est: DataFrame) -> DataFrame:
+def distances(rows: DataFrame, est: DataFrame, few: bool | None = None) -> DataFrame:
     """rows with d2, the squared distance to their group's estimate; null for a group without one."""
-    out = with_groups(rows, est)
+    out = with_groups(rows, est, few)
     for i, a in enumerate(X):
         out = out.withColumn(f"y_{i}", F.col(a) - F.col(f"m_{i}") - reduce(lambda s, k: s + F.col(f"l_{i}_{k}") * F.col(f"y_{k}"), range(i), F.lit(0.0)))
     d2 = reduce(lambda s, i: s + F.col(f"y_{i}") * F.col(f"y_{i}") / F.col(f"d_{i}"), range(len(X)), F.lit(0.0))
@@ -111,16 +127,23 @@ def moments() -> list[Column]:
 def estimates(rows: DataFrame) -> DataFrame:
     """rows(group, x...) to (group, factors, scale): the estimate of each group and what its distances are divided by."""
     middle = written(rows.groupBy("group").agg(*[F.percentile_approx(a, 0.5, 1000).alias(f"m_{j}") for j, a in enumerate(X)]), "medians")
-    spread = with_groups(rows, middle).groupBy("group").agg(*[F.first(f"m_{j}").alias(f"m_{j}") for j in range(len(X))], *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{j}")), 0.5, 1000).alias(f"s_{j}") for j, a in enumerate(X)])
+    few = middle.count() <= MAX_BROADCAST_GROUPS
+    spread = with_groups(rows, middle, few).groupBy("group").agg(*[F.first(f"m_{j}").alias(f"m_{j}") for j in range(len(X))], *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{j}")), 0.5, 1000).alias(f"s_{j}") for j, a in enumerate(X)])
     start = spread.select("group", *[f"m_{j}" for j in range(len(X))], *[(F.pow(1.4826 * F.col(f"s_{i}"), 2) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(len(X)) for j in range(i + 1)])
     est = written(factored(start), "estimate")
+    last = None
     for _ in range(STEPS):
-        near = distances(rows, est)
+        near = distances(rows, est, few)
         limit = near.groupBy("group").agg(F.percentile_approx("d2", COVERED, 1000).alias("limit"))
         limit = written(limit, "limits")
-        inner = with_groups(near, limit).filter("d2 <= limit")
+        if last is not None:
+            change = F.abs(F.col("limit") - F.col("last")) > SETTLED * F.col("limit")
+            if limit.join(last.withColumnRenamed("limit", "last"), "group").filter(change).isEmpty():
+                break
+        last = limit
+        inner = with_groups(near, limit, few).filter("d2 <= limit")
         est = written(factored(inner.groupBy("group").agg(*moments())), "estimate")
-    scale = distances(rows, est).groupBy("group").agg((F.percentile_approx("d2", 0.5, 1000) / F.lit(CHI2_MEDIAN)).alias("scale"))
+    scale = distances(rows, est, few).groupBy("group").agg((F.percentile_approx("d2", 0.5, 1000) / F.lit(CHI2_MEDIAN)).alias("scale"))
     return written(est.join(scale, "group").withColumn("scale", F.greatest("scale", F.lit(0.05))), "estimate")
 
 

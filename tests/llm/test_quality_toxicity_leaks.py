@@ -61,6 +61,24 @@ def test_estimates_match_numpy_and_reject_outliers(spark):
     assert min(d for v, d in want if v in set(x[:20, 0].tolist())) > max(d for v, d in want if v not in set(x[:20, 0].tolist()))
 
 
+def test_junk_of_one_kind_goes_where_a_third_of_a_group_is_junk(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    shifts = {"symbols": [0, 0, 5, 0, 0], "lines": [0, 0, 0, 1.2, 0.45], "length": [0, 2.5, 0, 0, 0]}
+    for share in (0.3, 0.4):
+        for kind, shift in shifts.items():
+            x = rng.normal(size=(1000, 5)) * [0.6, 0.1, 0.3, 0.05, 0.05]
+            x[: int(1000 * share)] += shift
+            rows += [(f"{kind}{share}", k, k < 1000 * share, *map(float, r)) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "group string, k bigint, junk boolean, x_words double, x_length double, x_symbols double, x_lines double, x_repeats double")
+    est = qm.estimates(df)
+    got = qm.distances(df, est.drop("scale")).join(est.select("group", "scale"), "group").withColumn("out", F.col("d2") / F.col("scale") > qm.CUTOFF)
+    found = {(r.group, r.junk): r.share for r in got.groupBy("group", "junk").agg(F.avg(F.col("out").cast("int")).alias("share")).collect()}
+    assert len(found) == 12
+    assert all(share >= 0.85 if junk else share == 0 for (_, junk), share in found.items()), found
+    assert abs(qm.chi2_cutoff(0.001) - 20.515) < 0.001 and abs(qm.chi2_cutoff(0.5) - qm.CHI2_MEDIAN) < 0.001
+
+
 def test_junk_goes_and_prose_stays(spark):
     rnd = random.Random(2)
     vocab = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(900)]
