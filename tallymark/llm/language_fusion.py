@@ -24,7 +24,7 @@ SAMPLE_CHARS = 20_000_000
 CELLS = 1 << 16
 TEMPER = 150
 PRIOR_WEIGHT = 10.0
-MAX_LANGUAGES = 64
+MAX_LANGUAGES = 500  # more raise an error
 MAX_BROADCAST_GROUPS = 20_000
 MARKUP = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;|&#\d+;")
 
@@ -40,12 +40,13 @@ def trigrams(text: str) -> np.ndarray:
 class Likelihood:
     def __init__(self, rows: list[tuple[str, str]]):
         """rows: (language, text)."""
-        self.languages = sorted({lang for lang, _ in rows})[:MAX_LANGUAGES]
+        self.languages = sorted({lang for lang, _ in rows})
+        if len(self.languages) > MAX_LANGUAGES:
+            raise ValueError(f"{len(self.languages)} languages; the tables hold {MAX_LANGUAGES} at most")
         counts = np.full((len(self.languages), CELLS), 0.1)
         place = {lang: k for k, lang in enumerate(self.languages)}
         for lang, text in rows:
-            if lang in place:
-                counts[place[lang]] += np.bincount(trigrams(text), minlength=CELLS)
+            counts[place[lang]] += np.bincount(trigrams(text), minlength=CELLS)
         self.log = np.ascontiguousarray(np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32))
 
     def score(self, text: str) -> np.ndarray:
@@ -61,7 +62,7 @@ class Likelihood:
 
 
 def likelihood_from(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Likelihood:
-    """Rows without language or text are not used."""
+    """Rows without language or text are not used. Languages that the sample has not got have samples of their own."""
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null and t <> ''")
     rows, size = [], 0
     for r in known.orderBy(F.xxhash64("id", "t"), "id").limit(sample).toLocalIterator():
@@ -69,6 +70,12 @@ def likelihood_from(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
         if size > SAMPLE_CHARS:
             break
         rows.append((r["l"], r["t"]))
+    languages = {r["l"] for r in known.select("l").distinct().limit(MAX_LANGUAGES + 1).collect()}
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    while rest := languages - {lang for lang, _ in rows}:
+        more = known.filter(F.col("l").isin(sorted(rest))).orderBy(F.xxhash64("id", "t"), "id").limit(max(1, sample // 10))
+        rows += [(r["l"], r["t"][:SAMPLE_CHARS]) for r in more.toLocalIterator()]
     return Likelihood(rows)
 
 

@@ -66,3 +66,10 @@ def test_evidence_is_weighed(spark):
     assert all(got[k].lang == ("de" if k % 3 else "en") for k in range(300))
     assert got[900].lang == "de" and got[902].lang == "fr" and got[902].text_lang == "fr"
     assert got[900].declared is None and 0 < got[900].posterior <= 1
+
+
+def test_all_languages_have_tables(spark):
+    names = [f"l{k:02d}" for k in range(70)] + ["zh"]
+    assert lf.Likelihood([(lang, f"text of {lang}") for lang in names]).languages == names
+    df = spark.createDataFrame([(k, "en" if k % 50 else names[k // 50], f"words {k}") for k in range(3550)], "doc_id bigint, lang string, text string")
+    assert lf.likelihood_from(df, sample=40).languages == sorted([*names, "en"])
