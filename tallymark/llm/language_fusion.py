@@ -139,7 +139,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """Of pages(page_id, url, html): the language that the html element declares, host, and the host's last label with the path's first segment where that is two letters."""
     rest = F.when(F.instr("url", "://") > 0, F.substring(F.col("url"), F.instr("url", "://") + 3, F.length("url"))).otherwise(F.lit(""))
     host = F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
-    declared = F.lower(F.regexp_extract("html", r"(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    element = F.regexp_extract("html", r"(?i)<html\b[^>]*", 0)  # the first one, wherever it begins
+    declared = F.lower(F.regexp_extract(element, r"(?is)\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     suffix = F.concat_ws("/", F.regexp_extract(host, r"([^.]*)$", 1), F.lower(F.regexp_extract(rest, r"^[^/?#]*/([a-zA-Z]{2})(?:[/?#]|$)", 1)))
     return pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), F.nullif(declared, F.lit("")).alias("declared"), host.alias("host"), suffix.alias("suffix"))
 

@@ -73,3 +73,10 @@ def test_all_languages_have_tables(spark):
     assert lf.Likelihood([(lang, f"text of {lang}") for lang in names]).languages == names
     df = spark.createDataFrame([(k, "en" if k % 50 else names[k // 50], f"words {k}") for k in range(3550)], "doc_id bigint, lang string, text string")
     assert lf.likelihood_from(df, sample=40).languages == sorted([*names, "en"])
+
+
+def test_declared_language_behind_a_long_prolog(spark):
+    prolog = "<!-- " + "licence text\n" * 500 + "-->\n"
+    rows = [(1, "http://a.b/x", prolog + "<HTML class=x\nlang='DE-at'><p>x"), (2, "http://a.b/x", " " * 5000 + "<html lang=fr>"), (3, "http://a.b/x", prolog + "<p lang=en>x")]
+    got = {r.id: r.declared for r in lf.page_rows(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {1: "de", 2: "fr", 3: None}
