@@ -1,8 +1,8 @@
 """URL filters: fixed rules first, then a tree of path templates for each host.
 
 Paths are reduced to shapes (runs of digits become {n}) and counted with their labels, so that the tree grows over distinct
-shapes and not over pages. Level by level, a segment stays itself if its share of the parent's pages is large enough and its
-share of bad labels differs from the parent's by a two-sided test; rare segments, and branches alike in label statistics, become
+shapes and not over pages. Level by level, a segment stays itself if it has LEAST_PAGES pages, however small a part of the
+parent's, and its share of bad labels differs from the parent's by a two-sided test; rare segments, and branches alike in label statistics, become
 the wildcard *. A template is blocked if its share of bad labels, smoothed towards the host's and that towards all, is high.
 Everything is in DataFrame functions.
 """
@@ -17,8 +17,7 @@ from tallymark.llm.common import table, written
 #: (verdict, host, path) of the fixed rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 MAX_DEPTH = 8  # segments with a level of their own; what is deeper counts as one segment
-LEAST_PAGES = 5  # and
-LEAST_SHARE = 0.02  # of the parent's pages for a segment of its own
+LEAST_PAGES = 5  # for a segment of its own
 DIFFERENT = 1.96  # standard errors
 WEIGHT = 20.0  # labels that a prior counts for
 BAD_SHARE = 0.5
@@ -58,7 +57,7 @@ def grown(shapes: DataFrame) -> DataFrame:
         rate = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1)
         error = F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1)))
         differs = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - rate) > DIFFERENT * error)
-        common = (F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("all_n"))
+        common = F.col("n") >= LEAST_PAGES
         kept = child.join(parent, ["host", "template"]).filter(common & differs).select("host", "template", "part", F.lit(True).alias("kept"))
         joined = now.withColumn("part", part).join(kept, ["host", "template", "part"], "left")
         step = F.when(part.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("kept"), F.col("part")).otherwise(F.lit("*"))))

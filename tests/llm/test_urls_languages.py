@@ -80,3 +80,10 @@ def test_declared_language_behind_a_long_prolog(spark):
     rows = [(1, "http://a.b/x", prolog + "<HTML class=x\nlang='DE-at'><p>x"), (2, "http://a.b/x", " " * 5000 + "<html lang=fr>"), (3, "http://a.b/x", prolog + "<p lang=en>x")]
     got = {r.id: r.declared for r in lf.page_rows(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert got == {1: "de", 2: "fr", 3: None}
+
+
+def test_a_bad_section_of_a_host_with_many_is_blocked(spark):
+    pages = [(k, f"http://big.edu/s{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}/x") for k in range(10_000)]  # 100 sections of 100 pages
+    labels = spark.createDataFrame([(k, "/sbc/" in u) for k, u in pages], "id bigint, bad boolean")
+    found = ut.judged(spark.createDataFrame(pages, "page_id bigint, url string"), labels).groupBy("verdict", "path").count().collect()
+    assert {r.path for r in found if r.verdict == "block"} == {"/sbc/x"} and sum(r["count"] for r in found) == 10_000
