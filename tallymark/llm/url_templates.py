@@ -91,6 +91,6 @@ def judged(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]
 
 
 def op1_url_templates(spark, sf_dir: str) -> DataFrame:
-    """Labels carry the id of the page: poor or toxic ones are bad."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return judged(table(spark, sf_dir, "pages"), labels)
+    """No table labels pages (labels.doc_id is a document's id), so only the fixed rules block."""
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages, pages.select(F.col("page_id").alias("id"), F.lit(None).cast("boolean").alias("bad")).filter("false"))

@@ -87,3 +87,10 @@ def test_a_bad_section_of_a_host_with_many_is_blocked(spark):
     labels = spark.createDataFrame([(k, "/sbc/" in u) for k, u in pages], "id bigint, bad boolean")
     found = ut.judged(spark.createDataFrame(pages, "page_id bigint, url string"), labels).groupBy("verdict", "path").count().collect()
     assert {r.path for r in found if r.verdict == "block"} == {"/sbc/x"} and sum(r["count"] for r in found) == 10_000
+
+
+def test_labels_of_documents_are_not_of_pages(spark, tmp_path):
+    spark.createDataFrame([(k, f"http://site.edu/x/{k}") for k in range(60)], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, 0, 1) for k in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = ut.op1_url_templates(spark, str(tmp_path)).collect()
+    assert len(found) == 60 and {r.verdict for r in found} == {"allow"}
