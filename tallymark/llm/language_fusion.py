@@ -66,9 +66,9 @@ def likelihood_from(docs: DataFrame, lang_col: str = "lang", text_col: str = "te
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null and t <> ''")
     rows, size = [], 0
     for r in known.orderBy(F.xxhash64("id", "t"), "id").limit(sample).toLocalIterator():
+        if size + len(r["t"]) > SAMPLE_CHARS:
+            continue  # if that leaves a language without rows, it gets its own below
         size += len(r["t"])
-        if size > SAMPLE_CHARS:
-            break
         rows.append((r["l"], r["t"]))
     languages = {r["l"] for r in known.select("l").distinct().limit(MAX_LANGUAGES + 1).collect()}
     if len(languages) > MAX_LANGUAGES:

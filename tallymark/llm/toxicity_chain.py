@@ -162,12 +162,15 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     chosen = told.orderBy(F.xxhash64("id"), "id").limit(sample)
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("t is not null").join(F.broadcast(chosen), "id")  # sample rows at most
     found = found.groupBy("id").agg(F.min(F.struct(F.length("t").alias("n"), F.col("t"))).alias("t"), F.first("y").alias("y"))
-    rows, size = [], 0
+    rows, size, passed = [], 0, 0
     for r in found.orderBy(F.xxhash64("id"), "id").toLocalIterator():
+        if size + r["t"]["n"] > SAMPLE_CHARS:
+            passed += 1
+            continue
         size += r["t"]["n"]
-        if size > SAMPLE_CHARS:
-            break
         rows.append(r)
+    if passed and not rows:
+        raise ValueError(f"none of {passed} labelled texts has {SAMPLE_CHARS} characters at most")
     return Chain.fit([r["t"]["t"] for r in rows], {c: [r["y"][k] for r in rows] for k, c in enumerate(categories)})
 
 

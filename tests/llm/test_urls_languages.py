@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from tallymark.llm import language_fusion as lf
+from tallymark.llm import toxicity_chain as tc
 from tallymark.llm import url_templates as ut
 
 
@@ -94,3 +97,18 @@ def test_labels_of_documents_are_not_of_pages(spark, tmp_path):
     spark.createDataFrame([(k, 0, 1) for k in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     found = ut.op1_url_templates(spark, str(tmp_path)).collect()
     assert len(found) == 60 and {r.verdict for r in found} == {"allow"}
+
+
+def test_long_texts_do_not_end_training(spark, monkeypatch):
+    monkeypatch.setattr(lf, "SAMPLE_CHARS", 3000)
+    monkeypatch.setattr(tc, "SAMPLE_CHARS", 3000)
+    seen = []
+    monkeypatch.setattr(tc.Chain, "fit", lambda texts, labels: seen.append(len(texts)))
+    monkeypatch.setattr(lf, "Likelihood", lambda rows: seen.append(len(rows)))
+    df = spark.createDataFrame([(k, "en", "long " * 1000 if k % 2 else "short text") for k in range(40)], "doc_id bigint, lang string, text string")
+    labels = df.selectExpr("doc_id", "1 AS quality", "1 AS toxic")
+    tc.chain_for(df, labels)
+    lf.likelihood_from(df)
+    assert seen == [20, 20]
+    with pytest.raises(ValueError):
+        tc.chain_for(df.filter("doc_id % 2 = 1"), labels)
