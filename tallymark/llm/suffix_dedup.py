@@ -2,11 +2,15 @@
 
 A suffix counts up to `span` bytes. Equal spans share the position of their least k-gram (of hashed k-grams, the leftmost), so
 the suffixes fall into buckets by that gram, and equal suffixes into one bucket. Runs of suffixes with the same gram occurrence
-are one row: (bucket, hash of the run's bytes, document, first suffix, how many). Rows alike in bytes are repeats as they are;
-buckets with one row are unique as they are; both need no bytes. Of the other rows, one of each kind takes its bytes to its
-bucket. Buckets are sorted one block at a time: first by names of the first and last V bytes, and ties by names that were
-computed before at the positions of a difference cover modulo V only: any two suffixes reach sampled positions by a common
-shift below V, where the names of the rest tell them apart. Names are 64-bit hashes, next to the bucket's own.
+are one row: (bucket, hash of the run's bytes, document, first suffix, how many). Rows alike in bytes are repeats as they are
+(by 128 bits of hash, gram and run); buckets with one row are unique as they are; both need no bytes. Of the other rows, one of
+each kind takes its bytes to its bucket. Buckets are sorted one block at a time, by content: ranks of all strings of 8 to 64
+bytes by prefix doubling give the order by the first V bytes and by the last V, and ties go by ranks that were computed before
+at the positions of a difference cover modulo V only: any two suffixes reach sampled positions by a common shift below V, where
+the ranks of the rest tell them apart.
+
+A gram that very many rows share is known before any row is shuffled by it (counts are summed map-side): its rows go by
+(gram, run) and, as single suffixes, by (gram, name of the span), and never meet in one task.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from tallymark.llm.common import table, text_key, written
 SPAN = 200
 GRAM = 64
 SLICE_BYTES = 1 << 20
+TEXT_BYTES = 4 << 20  # of a text whose runs are sought at once
 BLOCK_BYTES = 2 << 20
-HOT_KINDS = 4_096
+HOT_ROWS = 4_096  # rows of a gram that is too common for one task
+MAX_BROADCAST = 200_000  # such grams
+SALTS = 64
 V = 73
 COVER = [0, 1, 3, 7, 15, 31, 36, 54, 63]  # fixed values: differences of these give each residue modulo 73
 
@@ -105,8 +112,8 @@ def runs(buf: np.ndarray, names: Names, span: int = SPAN, gram: int = GRAM) -> t
     return g[spot[first]], names.of(first, count + span - 1) + (spot[first] - first).astype(np.uint64) * BASE, first, count
 
 
-def find_runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """docs(key, text) to rows of runs."""
+def find_runs(docs: DataFrame, span: int, gram: int, most: int = TEXT_BYTES) -> DataFrame:
+    """docs(key, text) to rows of runs, at most so many bytes of a text at once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,11 +121,12 @@ def find_runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
             parts, owner, size = [], [], 0
             for k in range(len(texts)):
                 data = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)
-                if len(data) >= span:
-                    found = runs(data, Names(data), span, gram)
-                    parts.append(found)
-                    owner.append(np.full(len(found[0]), k))
-                    size += len(found[0])
+                for a in range(0, len(data) - span + 1, most):  # suffixes from a on; a run that is cut here is two rows
+                    part = data[a : a + most + span - 1]
+                    g, s, first, count = runs(part, Names(part), span, gram)
+                    parts.append((g, s, first + a, count))
+                    owner.append(np.full(len(g), k))
+                    size += len(g)
                 if parts and (size > 50_000 or k + 1 == len(texts)):
                     g, s, first, count = (np.concatenate(x) for x in zip(*parts))
                     yield pa.RecordBatch.from_arrays(
@@ -130,18 +138,46 @@ def find_runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.mapInArrow(work, "g bigint, s bigint, key struct<i:bigint,h:bigint>, first int, count int")
 
 
+def ranked(codes: np.ndarray) -> np.ndarray:
+    """The place of each code among the distinct ones."""
+    return np.unique(codes, return_inverse=True)[1].astype(np.int64)
+
+
+def ranks(buf: np.ndarray) -> np.ndarray:
+    """The rank by content of the 64 bytes from each position on (fewer at the end), by doubling from 8 bytes."""
+    n = len(buf)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = np.zeros(n, np.uint64)
+    for k in range(8):
+        words = words << np.uint64(8) | padded[k : k + n]
+    rank = ranked(words)
+    for width in (8, 16, 32):
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - width)] = rank[width:]
+        rank = ranked(rank * n + after)
+    return rank
+
+
 def equal_suffixes(buf: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """A class for each suffix of the buffer at these positions, equal for equal spans: sorted by names of both ends, ties by cover ranks."""
-    names = Names(buf)
-    prefix, tail = names.of(at, V), names.of(at + span - V, V)
+    """A class for each suffix of the buffer at these positions, equal for equal spans: sorted by both ends, ties by cover ranks.
+
+    Every position has span bytes, so the zeros beyond the buffer's end never count.
+    """
+    rank = ranks(buf)
+    n, rest = len(buf), V - 64
+    prefix, tail = rank[at] * n + rank[at + rest], rank[at + span - V] * n + rank[at + span - 64]
     middle = span - V  # after any shift below V it begins within the first V bytes and ends within the last V
     order = np.lexsort((tail, prefix))
     same = np.append(False, (prefix[order][1:] == prefix[order][:-1]) & (tail[order][1:] == tail[order][:-1]))
     group = np.empty(len(at), np.int64)
     group[order] = np.cumsum(~same) - 1
     sampled = np.flatnonzero(np.isin(np.arange(len(buf) - middle + 1) % V, COVER))
-    rank = np.full(len(buf), -1, np.int32)
-    rank[sampled] = np.unique(names.of(sampled, middle), return_inverse=True)[1]  # the cover sample's ranks
+    cover = np.full(len(buf), -1, np.int64)
+    steps = [rank[sampled + k] for k in (*range(0, middle - 64, 64), middle - 64)]  # the cover sample's ranks
+    held = steps[0]
+    for part in steps[1:]:
+        held = ranked(held * n + part)
+    cover[sampled] = held
     out = np.full(len(at), -1, np.int64)
     todo, fresh = np.argsort(group, kind="stable"), 0
     while len(todo):  # each round settles one class of each tied group: those that agree with its first
@@ -150,7 +186,7 @@ def equal_suffixes(buf: np.ndarray, at: np.ndarray, span: int = SPAN) -> np.ndar
         size = np.diff(np.append(lead, len(todo)))
         first = np.repeat(todo[lead], size)
         shift = SHIFT[at[todo] % V, at[first] % V].astype(np.int64)
-        agree = rank[at[todo] + shift] == rank[at[first] + shift]
+        agree = cover[at[todo] + shift] == cover[at[first] + shift]
         out[todo[agree]] = np.repeat(np.arange(fresh, fresh + len(lead)), size)[agree]
         fresh += len(lead)
         todo = todo[~agree]
@@ -203,18 +239,32 @@ def sorted_blocks(shipped: DataFrame, span: int) -> DataFrame:
     return shipped.repartition("g").sortWithinPartitions("g").select("g", "s", "n", "count", "bytes").mapInArrow(work, "g bigint, s bigint, offset int, length int")
 
 
-def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT_KINDS) -> DataFrame:
+def with_hot(rows: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
+    """rows with hot: is its gram one of hot(g). Many hot grams go out once for each salt, so that no gram's rows meet."""
+    if few:
+        return rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    spread = hot.select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("s", "first"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["g", "salt"], "left").drop("salt").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: int = HOT_ROWS, most: int = TEXT_BYTES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs(key, id, text) to (key, first, last): suffixes first to last - 1 of the document start somewhere else too.
 
-    A bucket of more than hot kinds of rows is not sorted in one place: its suffixes go out as names, and are counted.
+    A bucket of more than hot rows is not sorted in one place: its suffixes go out as names, and are counted.
     """
-    rows = written(find_runs(docs.select("key", "text"), span, gram), "runs")
-    buckets = rows.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
-    live = written(rows.join(buckets, "g"), "live")
-    kinds = live.groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
+    rows = written(find_runs(docs.select("key", "text"), span, gram, most), "runs")
+    buckets = written(rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("s") == F.max("s")).alias("alike")).filter("n > 1"), "buckets")
+    common = buckets.filter(F.col("n") > hot).select("g")
+    marked = with_hot(rows, common, common.count() <= max_broadcast)
+    rare = marked.filter("not hot").join(buckets.select("g"), "g").select(*rows.columns, "hot")
+    live = written(rare.unionByName(marked.filter("hot").select(*rows.columns, "hot")), "live")
+    kinds = live.groupBy("g", "s", "hot").agg(F.count("*").alias("n"), F.min(F.struct("key", "first", "count")).alias("one"))
     alike = live.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"], "left_semi").select("key", "first", (F.col("first") + F.col("count")).alias("last"))
-    many = kinds.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g", (F.col("k") > hot).alias("hot"))
-    sent = written(kinds.join(many, "g").select("g", "s", "n", "hot", "one.key", "one.first", "one.count"), "kinds")
+    # A rare gram's kinds meet in one task (hot rows at most); those of a common one need no partner to be told.
+    several = buckets.filter((F.col("n") <= hot) & ~F.col("alike")).select("g")
+    picked = kinds.filter("not hot").join(several, "g", "left_semi").unionByName(kinds.filter("hot"))
+    sent = written(picked.select("g", "s", "n", "hot", "one.key", "one.first", "one.count"), "kinds")
     by_doc = sent.groupBy("key").agg(F.collect_list(F.struct("g", "s", "n", "first", "count", "hot")).alias("r"))
     schema = "g bigint, s bigint, n bigint, count int, bytes binary, offset int, name bigint"
 
@@ -255,17 +305,18 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: in
     return alike.union(partly)
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT_KINDS) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, hot: int = HOT_ROWS, most: int = TEXT_BYTES, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Each row of df as (id, n_bytes, n_removed, n_spans, kept binary): without the bytes that a repeated span covers.
 
     Null or empty text: no bytes. Two rows alike in id and text are two texts: their spans repeat. Null ids are ids like any
-    other. span must be 2 * 73 at least. Other columns are not carried. An empty table gives an empty one. Memory: one text, or
-    a block of about 2 MB of suffix runs and one bucket, of which equal runs count once.
+    other. span must be 2 * 73 at least. Other columns are not carried. An empty table gives an empty one. Very long texts: runs are
+    sought in slices of `most` bytes. Memory: a text and about 80 bytes for each byte of a slice, or a block of about 2 MB of
+    suffix runs and one bucket, of which equal runs count once.
     """
     if span < 2 * V or gram >= span:
         raise ValueError(f"span must be at least {2 * V} and above gram")
     docs = df.select(text_key(F.col(id_col).cast("long"), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = repeated_ranges(docs, span, gram, hot).distinct()
+    ranges = repeated_ranges(docs, span, gram, hot, most, max_broadcast).distinct()
     by_doc = ranges.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("r"))
     kind = docs.schema["id"].dataType.simpleString()
 

@@ -36,6 +36,29 @@ def test_large_buckets_are_counted_by_names(spark):
     check(spark, corpus(2), hot=2)
 
 
+def test_common_grams_are_salted_where_they_are_many(spark):
+    check(spark, corpus(3), hot=2, max_broadcast=0)
+
+
+def test_one_gram_in_every_text_and_texts_in_slices(spark):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage = text(120)
+    texts = [text(rnd.randint(60, 200)) + passage + text(rnd.randint(60, 200)) for _ in range(80)]
+    check(spark, [*texts, texts[0][30:] + texts[1]], hot=10, most=97)
+    check(spark, ["a" * 3000, "ab" * 900 + text(300), *texts[:5]], most=256)
+
+
+def test_a_very_long_text(spark):
+    rng = np.random.default_rng(6)
+    long = rng.integers(97, 123, 9_000_000, dtype=np.uint8)
+    part = long[5_000_000:5_000_300].copy()
+    long[8_000_000:8_000_300] = part
+    df = spark.createDataFrame([(1, long.tobytes().decode()), (2, "x" * 50 + part.tobytes().decode())], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in sd.deduplicate(df).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got == {1: (9_000_000, 600, 2), 2: (350, 300, 1)}
+
+
 def test_empty_table_and_a_row_twice(spark):
     check(spark, [])
     check(spark, ["p" * 10 + "".join(map(chr, range(65, 120))) * 5] * 2, ids=[1, 1])
