@@ -2,9 +2,13 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived: a text that matches holds, of some alternative, all
 trigrams. The index has a posting (trigram, document) for each trigram that a query names. The postings of an alternative
-intersect where a document has as many of them as the alternative has trigrams; only such candidates are searched with the
-expression. A rule without a mandatory trigram is searched in every text. Case is folded on both sides, which only adds
-candidates. Everything runs in DataFrame functions; the rules are read on the driver.
+intersect where a document has all of its trigrams; only such candidates are searched with the expression. A rule without a
+mandatory trigram is searched in every text. Case is folded on both sides, which only adds candidates.
+
+Every query is asked over all documents, so a document's postings are kept with its row, and the intersection is taken there: a
+posting that is not sent to the trigram's place need not come back with the text, and nothing is shuffled. `postings` and
+`candidates` are the same index by trigram, for queries over texts that lie elsewhere. Everything runs in DataFrame functions;
+the rules are read on the driver.
 """
 
 from __future__ import annotations
@@ -36,15 +40,58 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 LONG_ONLY = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 KINDS = [*BASE, *ADDED]
 MOST_STRINGS = 64  # strings followed side by side while a query is derived
+MOST_CHARS, MOST_REPEATS = 8, 40  # of a class whose letters are followed one by one; of a repeat that is written out
+
+
+class Known:
+    """What is known of all strings that an expression matches: either each of them (`whole`), or with which strings they can
+    begin (`heads`) and end (`tails`), and clauses, one of which holds in full (None: no demand)."""
+
+    def __init__(self, whole=None, heads=None, tails=None, clauses=None):
+        self.whole, self.clauses = whole, clauses
+        self.heads, self.tails = (whole, whole) if whole is not None else (heads or {""}, tails or {""})
+
+    def opened(self) -> Known:
+        """The same with only its ends and clauses known."""
+        if self.whole is None:
+            return self
+        return Known(None, {w[:2] for w in self.whole}, {w[-2:] for w in self.whole}, _and(self.clauses, _held(self.whole)))
+
+    def then(self, other: Known) -> Known:
+        if self.whole is not None and other.whole is not None and len(self.whole) * len(other.whole) <= MOST_STRINGS:
+            return Known({a + b for a in self.whole for b in other.whole})
+        # Each match has a border: the end of the left part and the beginning of the right one, as far as they are known.
+        left, right = self, other
+        middle = {a + b for a in left.tails for b in right.heads} if len(left.tails) * len(right.heads) <= MOST_STRINGS else {""}
+        clauses = _and(_and(left.opened().clauses, right.opened().clauses), _held(middle))
+        heads = {a + b for a in left.whole for b in right.heads} if left.whole is not None else left.heads
+        tails = {a + b for a in left.tails for b in right.whole} if right.whole is not None else right.tails
+        return Known(None, _few({h[:2] for h in heads}), _few({t[-2:] for t in tails}), clauses)
+
+    def either(self, other: Known) -> Known:
+        if self.whole is not None and other.whole is not None and len(self.whole | other.whole) <= MOST_STRINGS:
+            return Known(self.whole | other.whole)
+        a, b = self.opened(), other.opened()
+        clauses = None if a.clauses is None or b.clauses is None else a.clauses + b.clauses
+        return Known(None, _few(a.heads | b.heads), _few(a.tails | b.tails), clauses)
+
+
+def _few(strings: set[str]) -> set[str]:
+    return strings if len(strings) <= MOST_STRINGS else {""}
+
+
+def _held(strings: set[str]) -> list[frozenset[str]] | None:
+    """The demand that one of these strings is there; none if one of them is too short to have a trigram."""
+    found = [_trigrams(s) for s in strings]
+    return found if found and all(found) else None
 
 
 def alternatives(pattern: str) -> list[frozenset[str]] | None:
     """The trigram query of an expression: sets of lower-case trigrams, one of which must be there in full; None: no demand."""
-    whole, clauses = _strings(sre.parse(pattern))
-    found = _and(clauses, [_trigrams(s) for s in whole] if whole is not None else None)
+    found = _known(sre.parse(pattern)).opened().clauses
     if found is None or any(not c for c in found):
         return None
-    return [c for c in set(found) if not any(o < c for o in found)]
+    return [c for c in dict.fromkeys(found) if not any(o < c for o in found)]
 
 
 def _trigrams(s: str) -> frozenset[str]:
@@ -52,66 +99,43 @@ def _trigrams(s: str) -> frozenset[str]:
 
 
 def _and(a, b):
+    """Both demands; where there would be too many clauses, the one with fewer alone, which asks for less."""
     if a is None or b is None:
         return a if b is None else b
-    both = {x | y for x in a for y in b}
-    return list(both) if len(both) <= MOST_STRINGS else min((a, b), key=len)
-
-
-def _strings(node) -> tuple[list[str] | None, list[frozenset[str]] | None]:
-    """(all strings that the expression can be, if few; else None with the trigram clauses that it demands)."""
-    strings: list[str] | None = [""]
-    clauses: list[frozenset[str]] | None = None
+    both = list(dict.fromkeys(x | y for x in a for y in b))
+    return both if len(both) <= MOST_STRINGS else min((a, b), key=len)
 
-    def close():
-        nonlocal strings, clauses
-        if strings is not None:
-            clauses = _and(clauses, found if (found := [_trigrams(s) for s in strings]) and all(found) else None)
-        strings = [""]
 
+def _known(node) -> Known:
+    """What the parts of an expression tell, one after the other; any part that is not understood can be any string."""
+    out = Known({""})
     for op, value in node:
-        part: list[str] | None = None
-        inner = None
-        name = str(op)
+        name, part = str(op), Known()
         if name == "LITERAL":
-            part = [chr(value).lower()]
+            part = Known({chr(value).lower()})
         elif name == "SUBPATTERN":
-            part, inner = _strings(value[-1])
+            part = _known(value[-1])
+        elif name == "ATOMIC_GROUP":
+            part = _known(value)
         elif name == "BRANCH":
-            sides = [_strings(x) for x in value[1]]
-            if all(s is not None for s, _ in sides):
-                part = sorted({x for s, _ in sides for x in s})
-            else:
-                own = [_and(c, [_trigrams(x) for x in s] if s is not None else None) for s, c in sides]
-                inner = None if any(c is None or not all(c) for c in own) else [x for c in own for x in c]
+            part = reduce(Known.either, map(_known, value[1]))
         elif name == "IN":
-            chars = [chr(v).lower() for k, v in value if str(k) == "LITERAL"]
-            part = sorted(set(chars)) if len(chars) == len(value) and len(chars) <= 8 else None
+            chars = {chr(v).lower() for k, v in value if str(k) == "LITERAL"}
+            part = Known(chars) if all(str(k) == "LITERAL" for k, _ in value) and len(value) <= MOST_CHARS else Known()
         elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
             low, high, body = value
-            once, inner = _strings(body)
-            if low == 0:
-                part, inner = (["", *once] if high == 1 and once is not None else None), None
-            elif once is not None and len(once) == 1 and low == high:
-                part = [once[0] * int(low)]
-            elif once is not None:  # at least one of them; what follows is open
-                inner = [_trigrams(s) for s in once]
-                inner = inner if all(inner) else None
-        elif name == "AT":
-            part = [""]
-        if part is not None and strings is not None and len(strings) * len(part) <= MOST_STRINGS:
-            strings = sorted({s + p for s in strings for p in part})
-            clauses = _and(clauses, inner)
-        else:
-            close()
-            if part is not None:
-                strings = part
-            else:
-                clauses = _and(clauses, inner)
-    if clauses is None:
-        return strings, None
-    close()
-    return None, clauses
+            once = _known(body)
+            if low == 0 and high == 1:
+                part = once.either(Known({""}))
+            elif low > 0:
+                part = reduce(Known.then, [once] * min(int(low), MOST_REPEATS))
+                if high != low or low > MOST_REPEATS:  # more of it may follow; what it ends with is what one of them does
+                    more = once.opened()
+                    part = Known(None, part.opened().heads, more.tails, part.opened().clauses)
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            part = Known({""})
+        out = out.then(part)
+    return out
 
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
@@ -161,28 +185,40 @@ def listed(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def held_kinds(low: Column, queries: dict[str, list[frozenset[str]]]) -> Column:
+    """The rules whose query a lower-case text meets: its postings, intersected by alternative."""
+    named = sorted({t for q in queries.values() for c in q for t in c})
+    if not named:
+        return F.array().cast("array<string>")
+    place = {t: k for k, t in enumerate(named)}
+    entries = F.array(*[F.contains(low, F.lit(t)) for t in named])  # one posting for each trigram that a query names
+
+    def meets(p: Column, query: list[frozenset[str]]) -> Column:
+        every = [reduce(lambda a, b: a & b, [p[place[t]] for t in sorted(c)]) for c in query]
+        return reduce(lambda a, b: a | b, every)
+
+    # transform over one row's entries keeps them from being worked out once for each use
+    return F.transform(F.array(entries), lambda p: F.filter(F.array(*[F.when(meets(p, q), F.lit(k)) for k, q in queries.items()]), lambda k: k.isNotNull()))[0]
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Rows with secrets, array<struct<start,rank,kind,end>> by start and then rule, code points, end exclusive.
 
-    keep: with all columns of df (but its own of this name), else with the id only. Null text is empty text. Ids may repeat or be
-    null: a text is then searched for whatever any text of that id is a candidate for, so nothing is lost. An empty table
-    gives an empty one.
+    keep: with all columns of df (but its own of this name), else with the id only. Null text is empty text. Repeated rows and
+    null ids: each row for itself. Spans of different rules that start together go in the rules' order. Very long texts are
+    searched whole, in linear time for these rules; memory is one text and its spans. An empty table gives an empty one. No
+    shuffle.
     """
     held = [c for c in df.columns if c != "secrets"] if keep else [id_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = df.select(*[F.col(f"`{c}`") for c in held], F.col(id_col).alias("__id"), text.alias("__t"))
-    found, open_rules = candidates(docs.select(F.col("__id").alias("id"), F.col("__t").alias("text")), BASE | ADDED)
-    kinds = F.coalesce(F.col("__kinds"), F.array().cast("array<string>"))
-    if found is None:
-        docs = docs.withColumn("__kinds", kinds if False else F.array().cast("array<string>"))
-    else:
-        found = found.select(F.col("id").alias("__cid"), F.col("kinds").alias("__kinds"))
-        docs = docs.join(found, F.col("__id").eqNullSafe(F.col("__cid")), "left").drop("__cid")
+    queries = {k: alternatives(p) for k, p in (BASE | ADDED).items()}
+    kinds = held_kinds(F.lower(F.col("__t")), {k: q for k, q in queries.items() if q is not None})
+    docs = df.select(*[F.col(f"`{c}`") for c in held], text.alias("__t")).select(*[F.col(f"`{c}`") for c in held], "__t", kinds.alias("__kinds"))
     parts = []
     for kind, pattern in (BASE | ADDED).items():
         all_of = spans(F.col("__t"), kind, LONG_ONLY.get(kind, pattern), 0 if kind in LONG_ONLY else LEAST.get(kind, 0), 2 if kind == "assign" else 0)
         empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-        parts.append(all_of if kind in open_rules else F.when(F.array_contains(kinds, kind), all_of).otherwise(empty))
+        parts.append(all_of if queries[kind] is None else F.when(F.array_contains("__kinds", kind), all_of).otherwise(empty))
     return docs.select(*[F.col(f"`{c}`") for c in held], F.array_sort(F.concat(*parts)).alias("secrets"))
 
 

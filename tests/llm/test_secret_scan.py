@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -51,6 +50,70 @@ def test_queries_of_expressions():
                 assert any(all(g in text for g in c) for c in query), (pattern, text, query)
 
 
+def test_open_groups_keep_what_follows_them_apart():
+    for pattern, text in (("x([a-z]+ab)c", "xqqabc"), ("key([0-9]+zz)end", "key12zzend"), ("(a[0-9]*bcd|efg[xy])h+", "a77bcdh"), ("(?:ab|c[0-9])+def", "abc1def")):
+        query = ss.alternatives(pattern)
+        assert re.search(pattern, text) and (query is None or any(all(g in text for g in c) for c in query)), (pattern, query)
+    assert ss.alternatives("x([a-z]+ab)c") == [frozenset({"abc"})]
+
+
+def test_no_match_of_random_expressions_is_lost():
+    rnd = random.Random(9)
+
+    def expression(depth):
+        kind = rnd.randrange(9) if depth else 0
+        one = lambda: expression(depth - 1)
+        if kind < 2:
+            return "".join(rnd.choices("abcd", k=rnd.randint(1, 4)))
+        if kind == 2:
+            return f"({one()}|{one()})"
+        if kind == 3:
+            return f"(?:{one()}){rnd.choice(['?', '*', '+', '{2}', '{1,3}', '+?', '{0,2}'])}"
+        if kind == 4:
+            return rnd.choice(["[ab]", "[a-d]", "[^a]", ".", "[abcd]{2}"])
+        if kind == 5:
+            return f"(?:{one()}|{one()}|{one()})"
+        return one() + one()
+
+    def sample(node):
+        out = ""
+        for op, value in node:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(value)
+            elif name == "SUBPATTERN":
+                out += sample(value[-1])
+            elif name == "BRANCH":
+                out += sample(rnd.choice(value[1]))
+            elif name == "MAX_REPEAT" or name == "MIN_REPEAT":
+                out += "".join(sample(value[2]) for _ in range(rnd.randint(int(value[0]), min(int(value[1]), int(value[0]) + 2))))
+            else:
+                out += rnd.choice("abcd")
+        return out
+
+    asked = 0
+    for _ in range(1500):
+        pattern = expression(4)
+        query = ss.alternatives(pattern)
+        for _ in range(4):
+            text = rnd.choice(["", "d", "ab"]) + sample(ss.sre.parse(pattern)) + rnd.choice(["", "c"])
+            if query is not None and re.search(pattern, text):
+                asked += 1
+                assert any(all(g in text for g in c) for c in query), (pattern, text, query)
+    assert asked > 500
+
+
+def test_index_by_trigram_has_the_same_candidates(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices(PARTS, k=rnd.randint(0, 5))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    rules = ss.BASE | ss.ADDED
+    found, open_rules = ss.candidates(docs, rules)
+    queries = {k: q for k, p in rules.items() if (q := ss.alternatives(p)) is not None}
+    assert open_rules == ["hex"] and set(queries) == set(rules) - {"hex"}
+    by_row = docs.select("id", ss.held_kinds(ss.F.lower("text"), queries).alias("kinds"))
+    assert {r.id: set(r.kinds) for r in found.collect()} == {r.id: set(r.kinds) for r in by_row.collect() if r.kinds}
+
+
 def test_empty_table(spark):
     assert ss.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
-    assert hashlib.sha256(b"").hexdigest()
