@@ -9,6 +9,7 @@ The merging itself is the library's, on text that is normalised already; what it
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from functools import cache
@@ -217,6 +218,11 @@ class Codec:
         return "".join(out)
 
 
+def spans_digest(starts: np.ndarray, stops: np.ndarray) -> str:
+    """SHA-256 of all (first, end) byte pairs in order, as little-endian unsigned 32-bit integers."""
+    return hashlib.sha256(np.stack([starts, stops], axis=1).astype("<u4").tobytes()).hexdigest()
+
+
 def utf8_width(lead: int) -> int:
     return 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
 
@@ -233,13 +239,13 @@ def _offsets(sizes: list[int]) -> pa.Array:
 
 def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Rows with ids_le (ids as little-endian unsigned 32-bit integers, begin and end ids included), starts and ends
-    (array<int>, original bytes of each id, end exclusive) and decoded. keep: with all columns of df, whose own columns of
+    (array<int>, original bytes of each id, end exclusive), spans_sha256 of both and decoded. keep: with all columns of df, whose own columns of
     these names are replaced; else with the id only.
 
     Null or empty text: begin and end id, decoded to empty text. Repeated rows, null ids: each row for itself. An empty table
     gives an empty one. A single pass without a shuffle; memory holds a slice of about a million characters or one text.
     """
-    new = ["ids_le", "starts", "ends", "decoded"]
+    new = ["ids_le", "starts", "ends", "spans_sha256", "decoded"]
     held = [c for c in df.columns if c not in new] if keep else [id_col]
     rows = df.select(*[F.col(f"`{c}`") for c in held], F.col(text_col).cast("string").alias("__codec_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -253,24 +259,25 @@ def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             ids = pa.array([x[0] for x in done], pa.binary())
             said = pa.array([x[3] for x in done], pa.string())
             whole = batch.slice(a, b - a)
-            return pa.RecordBatch.from_arrays([*whole.columns[:-1], ids, *spans, said], names=[*held, *new])
+            digest = pa.array([spans_digest(x[1], x[2]) for x in done], pa.string())
+            return pa.RecordBatch.from_arrays([*whole.columns[:-1], ids, *spans, digest, said], names=[*held, *new])
 
         for batch in batches:
             texts = [x or "" for x in batch.column(len(held)).to_pylist()]
             for a, b in slices(texts, SLICE_CHARS):
                 yield out(batch, a, b, [(*x, c.decode(x[0])) for x in map(c.encode, texts[a:b])])
 
-    return rows.mapInArrow(work, f"{fields}, ids_le binary, starts array<int>, ends array<int>, decoded string")
+    return rows.mapInArrow(work, f"{fields}, ids_le binary, starts array<int>, ends array<int>, spans_sha256 string, decoded string")
 
 
 def digests(coded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, n_span_bytes) of what encode_decode gives."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, spans_sha256) of what encode_decode gives."""
     return coded.select(
         id_col,
         F.size("starts").cast("long").alias("n_tokens"),
         F.sha2("ids_le", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
-        F.array_max("ends").cast("long").alias("n_span_bytes"),
+        "spans_sha256",
     )
 
 

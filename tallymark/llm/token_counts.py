@@ -9,7 +9,8 @@ Two deterministic transducers are compiled from a byte-level BPE file:
   the encoding of each prefix: of the entries that end at a byte, exactly one agrees with the last token before it, and
   the transition emits the difference in token count that it makes. Which pairs of tokens agree is compiled from the
   merge ranks when first met; that table has a size limit and starts again beyond it, which costs time and never changes
-  a count. Words end the merger's state, so the words of a chunk step through it together.
+  a count. Words end the merger's state, so the words of a chunk step through it together; a very long word, which none
+  would accompany to its end, steps through the same transducer by itself.
 
 Special strings split the text before both and count one each.
 """
@@ -40,6 +41,7 @@ S_LETTER, S_NUMBER, S_OTHER, S_END1, S_END2, S_INNER, S_LAST, S_LAST_BLANK, S_RE
 FRESH, JOIN, IN_L, IN_N, IN_O, IN_SPACE, END_2, END_1 = range(8)
 CHUNK = 64
 MAX_PAIRS = 2_000_000
+LONG_WORD = 2_000  # bytes from which a word is stepped through by itself
 
 
 @cache
@@ -173,6 +175,7 @@ class Merger:
         order = np.argsort(left[256:] * n + right[256:])
         self.merge_keys, self.merge_ids = (left[256:] * n + right[256:])[order], order + 256
         self.n, self.pairs = n, Pairs()
+        self.one_by_one: tuple | None = None
         reached = np.ones(n, bool)
         reached[256:] = self._first_merge(left[256:], right[256:]) == np.arange(256, n)
         self._automaton(words, reached)
@@ -248,7 +251,60 @@ class Merger:
     def _agree(self, keys: np.ndarray) -> np.ndarray:
         return self._first_merge(keys // self.n, keys % self.n) == self.n
 
+    def _agree_one(self, left: int, right: int) -> bool:
+        """The same for one pair, without arrays."""
+        n, merged_of = self.n, self.one_by_one[3]
+        mine, theirs = self.right_edge[left].tolist(), self.left_edge[right].tolist()
+        i = j = 0
+        while True:
+            up_a, up_b = mine[i + 1], theirs[j + 1]
+            merged = merged_of.get(mine[i] * n + theirs[j], n)
+            if merged < n and merged < up_a and merged <= up_b:
+                return False
+            if up_a == n and up_b == n:
+                return True
+            if up_a <= up_b:
+                i += 1
+            else:
+                j += 1
+
+    def count_long(self, word: bytes) -> int:
+        """Tokens of one word, a byte at a time."""
+        if self.one_by_one is None:
+            self.one_by_one = self.best.tolist(), self.shorter.tolist(), self.size.tolist(), dict(zip(self.merge_keys.tolist(), self.merge_ids.tolist()))
+        best, shorter, size, _ = self.one_by_one
+        agree, n, step = self._agree_one, self.n, self.step
+        known: dict[int, bool] = {}
+        last, counts = [0] * len(word), [0] * len(word)
+        node = 0
+        for k, b in enumerate(word):
+            node = int(step[node << 8 | b])
+            t = best[node]
+            while (before := k - size[t]) >= 0:
+                key = last[before] * n + t
+                fits = known.get(key)
+                if fits is None:
+                    if len(known) >= MAX_PAIRS:
+                        known.clear()
+                    known[key] = fits = agree(last[before], t)
+                if fits:
+                    break
+                t = shorter[t]
+            last[k] = t
+            counts[k] = counts[before] + 1 if before >= 0 else 1
+        return counts[-1]
+
     def count(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Tokens of each word buf[start:end]."""
+        long = ends - starts >= LONG_WORD
+        if not long.any():
+            return self._count_together(buf, starts, ends)
+        out = np.empty(len(starts), np.int64)
+        out[~long] = self._count_together(buf, starts[~long], ends[~long])
+        out[long] = [self.count_long(buf[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        return out
+
+    def _count_together(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Tokens of each word buf[start:end].
 
         The encoding of a prefix ends with the one entry that agrees with the encoding before it; its count is that
@@ -345,8 +401,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 1024, id_col: str = "doc
     """(id, n_bytes, n_tokens, over_limit) of each row, in a single pass without a shuffle.
 
     Null or empty text: 0 bytes, 0 tokens. Repeated rows and null ids: each row is counted for itself. Extra columns are
-    not carried, so their names cannot clash. An empty table gives an empty one. Memory: one slice of texts and the
-    transducer's bounded table.
+    not carried, so their names cannot clash. An empty table gives an empty one. Very long texts and words: time in
+    proportion to their length. Memory: one slice of texts (or one longer text) and the transducer's bounded table.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = f"id {rows.schema[0].dataType.simpleString()}, n_bytes bigint, n_tokens bigint"
