@@ -18,7 +18,7 @@ def rule(host, path):
 def test_addresses_and_rules(spark):
     urls = ["http://A.Example.NET/en/5?x#y", "https://x.net", "http://net/", "http://example.com/de/1", "x://example.com?/de/", "http://a.org/fr/", "http://a.org/fr", None, "", "no scheme/en/", "a://b://c/d", "http://É.example.net/en/é", "http://notexample.com/de/2"]
     df = spark.createDataFrame([(k, u, "t") for k, u in enumerate(urls)] + [(None, urls[0], "t")], "page_id bigint, url string, host string")
-    got = {r.page_id: r for r in ut.judged(df, spark.createDataFrame([], "id bigint, bad boolean")).collect()}
+    got = {r.page_id: r for r in ut.judged(df.selectExpr("*", "CAST(NULL AS boolean) AS bad")).collect()}
     assert len(got) == len(urls) + 1
     for k, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -39,7 +39,7 @@ def test_bad_branches_are_blocked_and_others_not(spark):
         if k % 2:
             labels.append((k, part == "spam" or rnd.random() < 0.03))
     pages += [(5000 + k, f"http://site.edu/rare{k}/1") for k in range(50)]
-    found = ut.judged(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "id bigint, bad boolean")).collect()
+    found = ut.judged(ut.with_labels(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "id bigint, bad boolean"))).collect()
     assert len(found) == len(pages)
     for r in found:
         assert (r.verdict == "block") == ("/spam/" in r.path), r
@@ -49,7 +49,7 @@ def test_bad_branches_are_blocked_and_others_not(spark):
 
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
-    assert ut.judged(none, spark.createDataFrame([], "id bigint, bad boolean")).count() == 0
+    assert ut.judged(ut.page_labels(none)).count() == 0
     assert lf.fused(lf.texts_scored(lf.page_rows(none), lf.Likelihood([]), True), []).count() == 0
     assert lf.fused(lf.texts_scored(lf.page_rows(none), lf.Likelihood([("en", "the of and")]), True), ["en"]).count() == 0
 
@@ -88,15 +88,97 @@ def test_declared_language_behind_a_long_prolog(spark):
 def test_a_bad_section_of_a_host_with_many_is_blocked(spark):
     pages = [(k, f"http://big.edu/s{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}/x") for k in range(10_000)]  # 100 sections of 100 pages
     labels = spark.createDataFrame([(k, "/sbc/" in u) for k, u in pages], "id bigint, bad boolean")
-    found = ut.judged(spark.createDataFrame(pages, "page_id bigint, url string"), labels).groupBy("verdict", "path").count().collect()
+    found = ut.judged(ut.with_labels(spark.createDataFrame(pages, "page_id bigint, url string"), labels)).groupBy("verdict", "path").count().collect()
     assert {r.path for r in found if r.verdict == "block"} == {"/sbc/x"} and sum(r["count"] for r in found) == 10_000
 
 
-def test_labels_of_documents_are_not_of_pages(spark, tmp_path):
-    spark.createDataFrame([(k, f"http://site.edu/x/{k}") for k in range(60)], "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
-    spark.createDataFrame([(k, 0, 1) for k in range(60)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+def brute_tree(rows):
+    """rows (host, path, bad or None) to templates and blocked paths, over plain dictionaries."""
+    import math
+    import re as regex
+    from collections import defaultdict
+
+    shapes = defaultdict(lambda: [0, 0, 0])
+    for host, path, bad in rows:
+        c = shapes[host, regex.sub("[0-9]+", "{n}", path)]
+        c[0] += 1
+        c[1] += bad is not None
+        c[2] += bool(bad)
+    parts = {key: [p for p in key[1].split("/") if p] for key in shapes}
+    out = {key: "" for key in shapes}
+    live, k = set(shapes), 0
+    while True:
+        nodes = defaultdict(list)
+        for key in live:
+            if len(parts[key]) > k:
+                nodes[key[0], out[key]].append(key)
+        grow = {node: held for node, held in nodes.items() if len(held) > 1 and sum(shapes[key][0] for key in held) >= ut.LEAST_PAGES}
+        following = set()
+        for node, held in nodes.items():
+            if node not in grow:
+                for key in held:
+                    out[key] += "/*" * (len(parts[key]) - k)
+                continue
+            labelled, bad = (sum(shapes[key][j] for key in held) for j in (1, 2))
+            rate = (bad + 0.5) / (labelled + 1)
+            child = defaultdict(lambda: [0, 0, 0])
+            for key in held:
+                for j in range(3):
+                    child[parts[key][k]][j] += shapes[key][j]
+            branch = {}
+            for part, (n, l, b) in child.items():
+                if n >= ut.LEAST_PAGES and l and abs(b / l - rate) > ut.DIFFERENT * math.sqrt(rate * (1 - rate) / l):
+                    branch[part] = f"*{min(math.floor(math.asin(math.sqrt((b + 0.5) / (l + 1))) / (math.pi / 2) * ut.CLASSES) + 1, ut.CLASSES)}"
+            for key in held:
+                name = branch.get(parts[key][k])
+                if name and list(branch.values()).count(name) == 1:
+                    name = parts[key][k]
+                out[key] += "/" + (name or "*")
+                following.add(key)
+        if not grow:
+            break
+        live, k = following, k + 1
+    every = (sum(c[2] for c in shapes.values()) + 0.1) / (sum(c[1] for c in shapes.values()) + 1)
+    by_host, by_template = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+    for key, (_, l, b) in shapes.items():
+        for held in (by_host[key[0]], by_template[key[0], out[key]]):
+            held[0] += l
+            held[1] += b
+    share = lambda key: (by_template[key[0], out[key]][1] + ut.WEIGHT * (by_host[key[0]][1] + ut.WEIGHT * every) / (by_host[key[0]][0] + ut.WEIGHT)) / (by_template[key[0], out[key]][0] + ut.WEIGHT)
+    return {key: (out[key], round(share(key), 6)) for key in shapes}
+
+
+def test_tree_equals_brute_force(spark):
+    import re as regex
+
+    rnd = random.Random(8)
+    rows = []
+    for k in range(3000):
+        host = rnd.choice(["a.edu", "a.edu", "b.edu", "c.edu"])
+        one, two = rnd.choice(["spam", "junk", "ads", "news", "u", "v"]), rnd.choice(["x", "y", "z1"])
+        rate = {"spam": 0.8, "junk": 0.83, "ads": 0.4}.get(one, 0.05)
+        path = f"/{one}/{two}/{rnd.randint(1, 9)}" + "/deep" * rnd.choice([0, 0, 12])
+        rows.append((host, path, None if rnd.random() < 0.2 else rnd.random() < rate))
+    rows += [("long.edu", "/s" * 3000, True), ("long.edu", "/s" * 3000, True), ("", "", None), ("a.edu", "", False)]
+    df = spark.createDataFrame([(k, f"http://{h}{p}" if h else None, b) for k, (h, p, b) in enumerate(rows)], "page_id bigint, url string, bad boolean")
+    want = brute_tree(rows)
+    got = {r.page_id: r for r in ut.judged(df.unionByName(df.filter("page_id < 0"))).collect()}
+    for k, (h, p, _) in enumerate(rows):
+        assert (got[k].template, got[k].bad_share) == want[h, regex.sub("[0-9]+", "{n}", p)], (h, p)
+    templates = {r.template for r in got.values()}
+    assert any("*" in t and t.split("/")[1] in {f"*{n}" for n in range(5, 10)} for t in templates if t)  # spam and junk are one branch
+
+
+def test_labels_come_from_the_pages_own_text(spark, tmp_path):
+    rnd = random.Random(5)
+    prose = lambda: " ".join(f"w{rnd.randint(0, 900)}" for _ in range(120))
+    rows = [(k, f"http://site.edu/{'thin' if k % 2 else 'full'}/x{k}", f"<html><script>{prose()}</script><p>{'buy now' if k % 2 else prose()}</p></html>") for k in range(200)]
+    rows += [(None, None, None), (7, "http://site.edu/thin/none", None)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = ut.op1_url_templates(spark, str(tmp_path)).collect()
-    assert len(found) == 60 and {r.verdict for r in found} == {"allow"}
+    assert len(found) == 202 and all((r.verdict == "block") == ("/thin/" in r.path) for r in found)
+    labels = ut.page_labels(spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("bad", ut.F.lit(5)))
+    assert labels.columns == ["page_id", "url", "html", "bad"] and labels.filter("bad is null").count() == 2 and labels.filter("bad").count() == 100
 
 
 def test_long_texts_do_not_end_training(spark, monkeypatch):
