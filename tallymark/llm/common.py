@@ -42,6 +42,21 @@ def text_key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.alias("i"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
 
 
+SALTS = 16  # copies of a group's row where one group may hold a third of all rows
+MAX_BROADCAST_GROUPS = 20_000
+
+
+def group_join(rows: DataFrame, groups: DataFrame, keys: list[str], by: list[str], few: bool | None = None) -> DataFrame:
+    """rows left-joined with a table of one row a group: broadcast where it has few rows (counted, if few is not told), else each
+    group's row goes to SALTS tasks, and the group's rows are dealt to them by a hash of the columns `by`."""
+    if few is None:
+        few = groups.count() <= MAX_BROADCAST_GROUPS
+    if few:
+        return rows.join(F.broadcast(groups), keys, "left")
+    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(copies, [*keys, "__salt"], "left").drop("__salt")
+
+
 def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about so many characters; a longer text stands alone."""
     begin, size = 0, 0

@@ -17,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import table, written
+from tallymark.llm.common import group_join, table, written
 
 SAMPLE = 2_000  # rows with a known language for the trigram tables, at most
-SAMPLE_CHARS = 20_000_000
+SAMPLE_CHARS = 20_000_000  # of them together, at most; a text that does not fit in is not used
 CELLS = 1 << 16
 TEMPER = 150
 PRIOR_WEIGHT = 10.0
 MAX_LANGUAGES = 500  # more raise an error
-MAX_BROADCAST_GROUPS = 20_000
 MARKUP = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;|&#\d+;")
 
 
@@ -62,21 +61,41 @@ class Likelihood:
 
 
 def likelihood_from(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> Likelihood:
-    """Rows without language or text are not used. Languages that the sample has not got have samples of their own."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null and t <> ''")
-    rows, size = [], 0
-    for r in known.orderBy(F.xxhash64("id", "t"), "id").limit(sample).toLocalIterator():
-        if size + len(r["t"]) > SAMPLE_CHARS:
-            continue  # if that leaves a language without rows, it gets its own below
-        size += len(r["t"])
-        rows.append((r["l"], r["t"]))
-    languages = {r["l"] for r in known.select("l").distinct().limit(MAX_LANGUAGES + 1).collect()}
-    if len(languages) > MAX_LANGUAGES:
+    """Tables from `sample` rows of SAMPLE_CHARS characters, the least by a hash of id and text; rows without language or text
+    are not used. Languages that have no row among them get a tenth as many rows of their own.
+
+    Rows are chosen by hash and length, and only the chosen texts are read again and reach the driver.
+    """
+    known = docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).filter("l is not null and t is not null and t <> ''")
+    light = known.select("h", "l", F.length("t").alias("n"))
+    counts = {r["l"]: r["rows"] for r in light.groupBy("l").agg(F.count("*").alias("rows")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    while rest := languages - {lang for lang, _ in rows}:
-        more = known.filter(F.col("l").isin(sorted(rest))).orderBy(F.xxhash64("id", "t"), "id").limit(max(1, sample // 10))
-        rows += [(r["l"], r["t"][:SAMPLE_CHARS]) for r in more.toLocalIterator()]
-    return Likelihood(rows)
+    chosen, size = {}, 0
+    for r in light.orderBy("h", "l", "n").limit(sample).collect():
+        if r["h"] not in chosen and size + r["n"] <= SAMPLE_CHARS:
+            size += r["n"]
+            chosen[r["h"]] = r["l"]
+    spark, each = docs.sparkSession, max(1, sample // 10)
+    rest = sorted(counts.keys() - set(chosen.values()))
+    room = SAMPLE_CHARS // max(1, len(rest))
+    if rest:
+        # A share of a language's rows that holds more than enough; hashes are spread evenly.
+        cut = spark.createDataFrame([(x, int(-(2**63) + min(1.0, (2 * each + 40) / counts[x]) * (2**64 - 1) * (1 - 1e-12))) for x in rest], "l string, most bigint")
+        some: dict[str, list[tuple[int, int]]] = {x: [] for x in rest}
+        for r in light.join(F.broadcast(cut), "l").filter("h <= most").select("h", "l", "n").collect():
+            some[r["l"]].append((r["h"], r["n"]))
+        for x, held in some.items():
+            used = 0
+            for k, (h, n) in enumerate(sorted(held)[:each]):
+                if k == 0 or used + n <= room:
+                    used += min(n, room)
+                    chosen[h] = x
+    if not chosen:
+        return Likelihood([])
+    wanted = spark.createDataFrame([(h, x, SAMPLE_CHARS if x not in set(rest) else room) for h, x in chosen.items()], "h bigint, l string, room int")  # sample rows and a tenth for each language at most
+    found = known.join(F.broadcast(wanted), ["h", "l"]).select("h", "l", F.expr("substring(t, 1, room)").alias("t")).dropDuplicates(["h", "l"])
+    return Likelihood([(r["l"], r["t"]) for r in sorted(found.collect(), key=lambda r: (r["h"], r["l"]))])
 
 
 def texts_scored(rows: DataFrame, model: Likelihood, markup: bool) -> DataFrame:
@@ -92,15 +111,12 @@ def texts_scored(rows: DataFrame, model: Likelihood, markup: bool) -> DataFrame:
     return rows.select("id", "text", "declared", "host", "suffix").mapInArrow(work, f"id {kind}, declared string, host string, suffix string, ll array<double>")
 
 
-def joined(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
-    return rows.join(F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups, key, "left")
-
-
 def fused(scored: DataFrame, languages: list[str]) -> DataFrame:
     """scored(id, declared, host, suffix, ll) to (id, lang, text_lang, posterior, declared).
 
     Null or empty text: the other evidence decides. A null declared language, host or suffix is a value of its own. Repeated rows
-    each count. Ties go to the language that is first by name. An empty table gives an empty one.
+    each count. Ties go to the language that is first by name. Very long texts are read whole; they count for TEMPER trigrams.
+    Other columns are not carried. An empty table gives an empty one.
     """
     n = len(languages)
     if not n:
@@ -117,11 +133,13 @@ def fused(scored: DataFrame, languages: list[str]) -> DataFrame:
     total_rows = every["a"] or 0
     share = [((every[f"a_{k}"] or 0.0) + 1) / (total_rows + n) for k in range(n)]
     by_suffix = by_suffix.select("suffix", *[((F.col(f"s_{k}") + PRIOR_WEIGHT * share[k]) / (F.col("s") + PRIOR_WEIGHT)).alias(f"s_{k}") for k in range(n)])
-    hosts = joined(by_host, by_suffix, "suffix").select(F.concat_ws("\1", "suffix", "host").alias("place"), "h", *[f"h_{k}" for k in range(n)], *[f"s_{k}" for k in range(n)])
+    hosts = group_join(by_host, by_suffix, ["suffix"], ["host"]).select(F.concat_ws("\1", "suffix", "host").alias("place"), "h", *[f"h_{k}" for k in range(n)], *[f"s_{k}" for k in range(n)])
     declared = rows.groupBy("d").agg(*[s.alias(f"d_{k}") for k, s in enumerate(sums)])
     # P(declared | language): with a count of one spread over all values.
     declared = declared.select("d", *[F.log((F.col(f"d_{k}") + 1) / F.lit((every[f"a_{k}"] or 0.0) + n + 1)).alias(f"e_{k}") for k in range(n)])
-    near = joined(joined(rows.withColumn("place", F.concat_ws("\1", "suffix", "host")), hosts, "place"), declared, "d")
+    hosts, declared = written(hosts, "priors"), written(declared, "declared")
+    at = rows.withColumn("place", F.concat_ws("\1", "suffix", "host"))
+    near = group_join(group_join(at, hosts, ["place"], ["id", "ll_0"]), declared, ["d"], ["id", "ll_0"])
 
     def post(k: int) -> Column:
         prior = (F.greatest(F.col(f"h_{k}") - F.col(f"p_{k}"), F.lit(0.0)) + PRIOR_WEIGHT * F.col(f"s_{k}")) / (F.greatest(F.col("h") - 1, F.lit(0)) + PRIOR_WEIGHT)

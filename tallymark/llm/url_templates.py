@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import table, written
+from tallymark.llm.common import group_join, table, written
 from tallymark.llm.quality_mcd import base_failed, base_statistics
 
 #: (verdict, host, path) of the fixed rules.
@@ -27,7 +27,6 @@ DIFFERENT = 1.96  # standard errors
 WEIGHT = 20.0  # labels that a prior counts for
 BAD_SHARE = 0.5
 CLASSES = 9  # of alike branches
-SALTS = 8  # copies of a parent in joins, since one host may hold a third of all shapes
 MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&[a-z]+;|&#\d+;"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,12 +49,6 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return rule, verdict
 
 
-def salted(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """left with the columns of right, which has few rows beside it: each key of right meets left in SALTS tasks."""
-    many = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("salt", F.pmod(F.xxhash64("shape_key"), F.lit(SALTS)).cast("int")).join(many, [*keys, "salt"], "left").drop("salt")
-
-
 def grown(shapes: DataFrame) -> DataFrame:
     """shapes(host, shape, n, labelled, bad) to (host, shape, template, n, labelled, bad).
 
@@ -73,7 +66,7 @@ def grown(shapes: DataFrame) -> DataFrame:
         if parent.isEmpty():
             return now.select("host", "shape", F.when(F.col("live"), rest).otherwise(F.col("template")).alias("template"), *counts)
         child = held.groupBy("host", "template", part.alias("part")).agg(*[F.sum(c).alias(c) for c in counts]).filter(F.col("n") >= LEAST_PAGES)
-        child = salted(child.withColumn("shape_key", F.col("part")), parent, ["host", "template"]).filter("shapes is not null")
+        child = group_join(child, parent, ["host", "template"], ["part"]).filter("shapes is not null")
         rate = (F.col("all_bad") + 0.5) / (F.col("all_labelled") + 1)
         error = F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1)))
         differs = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.greatest("labelled", F.lit(1)) - rate) > DIFFERENT * error)
@@ -83,10 +76,10 @@ def grown(shapes: DataFrame) -> DataFrame:
         # A class with one segment keeps the segment's name.
         single = kept.groupBy("host", "template", "branch").agg(F.count("*").alias("size"), F.min("part").alias("only"))
         named = single.select("host", "template", "branch", F.when(F.col("size") == 1, F.col("only")).otherwise(F.col("branch")).alias("name"))
-        kept = kept.join(named, ["host", "template", "branch"]).select("host", "template", "part", "name")
-        at = now.withColumns({"part": part, "shape_key": F.col("shape")})
-        at = salted(at, parent.select("host", "template", F.lit(True).alias("grows")), ["host", "template"])
-        at = salted(at, kept, ["host", "template", "part"])
+        kept = written(kept.join(named, ["host", "template", "branch"]).select("host", "template", "part", "name"), "branches")
+        at = now.withColumn("part", part)
+        at = group_join(at, parent.select("host", "template", F.lit(True).alias("grows")), ["host", "template"], ["shape"])
+        at = group_join(at, kept, ["host", "template", "part"], ["shape"])
         growing = F.col("live") & F.coalesce("grows", F.lit(False)) & F.col("part").isNotNull()
         template = F.when(growing, F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))).when(F.col("live") & F.col("part").isNotNull(), rest).otherwise(F.col("template"))
         now = written(at.select("host", "shape", *counts, "parts", template.alias("template"), growing.alias("live")), "tree")
@@ -123,9 +116,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, id_col:
     overall = F.lit(every if every is not None else 0.0)
     of_template = written(tree.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l")), "shares")
     of_host = of_template.groupBy("host").agg(((F.sum("b") + WEIGHT * overall) / (F.sum("l") + WEIGHT)).alias("prior"))
-    of_template = salted(of_template.withColumn("shape_key", F.col("template")), of_host, ["host"])
-    of_template = of_template.select("host", "template", ((F.col("b") + WEIGHT * F.col("prior")) / (F.col("l") + WEIGHT)).alias("bad_share"))
-    of_shape = salted(tree.select("host", "shape", "template", F.col("shape").alias("shape_key")), of_template, ["host", "template"]).select("host", "shape", "template", "bad_share")
+    of_template = group_join(of_template, of_host, ["host"], ["template"])
+    of_template = written(of_template.select("host", "template", ((F.col("b") + WEIGHT * F.col("prior")) / (F.col("l") + WEIGHT)).alias("bad_share")), "shares")
+    of_shape = group_join(tree.select("host", "shape", "template"), of_template, ["host", "template"], ["shape"]).select("host", "shape", "template", "bad_share")
     found = rows.join(of_shape, ["host", "shape"], "left")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bad_share") >= BAD_SHARE, "block").otherwise("allow")

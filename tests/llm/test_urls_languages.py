@@ -181,6 +181,61 @@ def test_labels_come_from_the_pages_own_text(spark, tmp_path):
     assert labels.columns == ["page_id", "url", "html", "bad"] and labels.filter("bad is null").count() == 2 and labels.filter("bad").count() == 100
 
 
+def brute_fusion(rows, model):
+    """rows (declared, host, suffix, text) to (language, text language, posterior), by the formulas over plain lists."""
+    import math
+    from collections import defaultdict
+
+    langs, n = model.languages, len(model.languages)
+    ll = [model.score(t or "") for *_, t in rows]
+    p = [[math.exp(x) / sum(math.exp(y) for y in v) for x in v] for v in ll]
+    add = lambda a, b: [x + y for x, y in zip(a, b)]
+    host, suffix, told, every = defaultdict(lambda: [0] * (n + 1)), defaultdict(lambda: [0] * (n + 1)), defaultdict(lambda: [0] * n), [0] * n
+    for (d, h, s, _), v in zip(rows, p):
+        host[h, s], suffix[s], told[d], every = add(host[h, s], [*v, 1]), add(suffix[s], [*v, 1]), add(told[d], v), add(every, v)
+    out = []
+    for (d, h, s, _), v, likely in zip(rows, p, ll):
+        score = []
+        for k in range(n):
+            share = (every[k] + 1) / (len(rows) + n)
+            of_suffix = (suffix[s][k] + lf.PRIOR_WEIGHT * share) / (suffix[s][n] + lf.PRIOR_WEIGHT)
+            prior = (max(host[h, s][k] - v[k], 0) + lf.PRIOR_WEIGHT * of_suffix) / (host[h, s][n] - 1 + lf.PRIOR_WEIGHT)
+            score.append(likely[k] + math.log((told[d][k] + 1) / (every[k] + n + 1)) + math.log(prior))
+        best = max(score)
+        out.append((langs[score.index(best)], langs[list(likely).index(max(likely))], 1 / sum(math.exp(x - best) for x in score)))
+    return out
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_fusion_equals_brute_force(spark, monkeypatch, few):
+    from tallymark.llm import common
+
+    monkeypatch.setattr(common, "MAX_BROADCAST_GROUPS", 20_000 if few else 0)
+    rnd = random.Random(12)
+    langs = [f"l{k:02d}" for k in range(80)] if few else ["de", "en", "fr"]
+    text = lambda k, size: " ".join(f"{langs[k]}{rnd.choice('abcdef')}{rnd.choice('xyz')}" for _ in range(size))
+    model = lf.Likelihood([(x, text(k, 30)) for k, x in enumerate(langs)])
+    rows = []
+    for i in range(150):
+        k = rnd.randrange(len(langs))
+        rows.append((rnd.choice([langs[k], langs[k], "xx", None]), rnd.choice(["h1", "h1", "h1", None, f"h{k}"]), rnd.choice(["org", "net/de", None]), rnd.choice([text(k, rnd.randint(0, 6)), "", None])))
+    rows += [rows[0], rows[0], ("en", "h1", "org", text(0, 60_000)), (None, None, None, None)]
+    df = spark.createDataFrame([(i, t, d, h, s) for i, (d, h, s, t) in enumerate(rows)], "id bigint, text string, declared string, host string, suffix string")
+    got = {r.id: r for r in lf.fused(lf.texts_scored(df, model, False), langs).collect()}
+    for i, (lang, text_lang, posterior) in enumerate(brute_fusion(rows, model)):
+        assert got[i].declared == rows[i][0] and abs(got[i].posterior - posterior) < 1e-9
+        assert got[i].lang == lang or posterior < 0.5000001  # equal scores in another order of sums
+        assert got[i].text_lang == text_lang
+
+
+def test_sample_is_chosen_before_texts_are_read(spark):
+    df = spark.createDataFrame([(k, "en", f"words {k}") for k in range(500)] + [(900, "de", "ein text")], "doc_id bigint, lang string, text string")
+    assert set(lf.likelihood_from(df, sample=20).languages) == {"de", "en"}
+    assert lf.likelihood_from(df.filter("false")).languages == []
+    twice = lf.likelihood_from(df.union(df), sample=2000)
+    assert (twice.log == lf.likelihood_from(df, sample=2000).log).all()
+
+
 def test_long_texts_do_not_end_training(spark, monkeypatch):
     monkeypatch.setattr(lf, "SAMPLE_CHARS", 3000)
     monkeypatch.setattr(tc, "SAMPLE_CHARS", 3000)
