@@ -40,9 +40,14 @@ def reference_distances(x):
     spread = np.array([np.sort(np.abs(c - m))[(len(c) - 1) // 2] for c, m in zip(x.T, middle)])
     m, c = middle, np.diag((1.4826 * spread) ** 2)
     dist = lambda: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + np.diag(floor)), x - m)
+    last = None
     for _ in range(qm.STEPS):
-        d = dist()
-        near = d <= np.sort(d)[int(np.ceil(qm.COVERED * len(d))) - 1]
+        now = np.linalg.slogdet(c + np.diag(floor))[1]
+        if last is not None and abs(now - last) <= qm.SETTLED:
+            break
+        d, last = dist(), now
+        kind = np.floor(np.log2(np.maximum(d, 1e-300)) * qm.OCTAVE)
+        near = kind <= np.sort(kind)[int(np.ceil(qm.COVERED * len(d))) - 1]
         m, c = x[near].mean(axis=0), np.cov(x[near].T, bias=True)
     d = dist()
     return d / max(0.05, np.sort(d)[(len(d) - 1) // 2] / qm.CHI2_MEDIAN)
@@ -61,6 +66,19 @@ def test_estimates_match_numpy_and_reject_outliers(spark):
     assert min(d for v, d in want if v in set(x[:20, 0].tolist())) > max(d for v, d in want if v not in set(x[:20, 0].tolist()))
 
 
+def test_groups_beyond_a_broadcast_give_the_same(spark, monkeypatch):
+    from tallymark.llm import common
+
+    rng = np.random.default_rng(2)
+    rows = [(k, None if k % 7 == 0 else "en", f"s{k % 3}", " ".join(f"w{rng.integers(0, 500)}" for _ in range(int(rng.integers(55, 120))))) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string")
+    want = {r.doc_id: (r.kept, r.distance) for r in qm.judged(df).collect()}
+    monkeypatch.setattr(common, "MAX_BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(qm, "MAX_BROADCAST_GROUPS", 0)
+    got = {r.doc_id: (r.kept, r.distance) for r in qm.judged(df.select("*", F.lit(1).alias("group"), F.lit(2).alias("d2"))).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
 def test_junk_of_one_kind_goes_where_a_third_of_a_group_is_junk(spark):
     rng = np.random.default_rng(5)
     rows = []
