@@ -1,12 +1,18 @@
 """SimHash near-duplicates: exact pairs within a Hamming radius by vantage-point trees.
 
-Fingerprints are made per document and collapsed to distinct ones first, so a group of copies is one point. The points are
-split by a vantage-point tree whose nodes are formed level by level from histograms of distances (at most 65 counts a node
-reach the driver, and the node count is the point count over SHARD). A point's home is one leaf. Two points within the radius
-differ by at most the radius in their distance to any vantage point (triangle inequality), so a point also visits, as a guest,
-the outer side of each split that it lies just inside of; guests then go to every side that they may reach. Each linked pair
-meets in the home leaf of one of the two. Leaves search on with trees of their own and give a spanning forest of the links that
-they find, at most one edge for each point, never all pairs of a group. Components come from rounds of large and small stars.
+Fingerprints are made per document and collapsed to distinct ones first, so a group of copies is one point. The distance over a
+block of bits is a lower bound of the whole distance, and two points within the radius differ by at most radius // blocks bits in
+one of `blocks` disjoint blocks. So there is a vantage-point tree for each block, whose nodes split by the distance to a vantage
+code over that block, and each searches with the small radius of a block (0 for 5 blocks and radius 4). By the triangle
+inequality a point has to be sought on the other side of a split only if its distance to the vantage code is within that small
+radius of the cut: with radius 0 never, so that each point visits as many leaves as there are blocks, however deep the trees are.
+They are grown on the driver from counts of the blocks' values (8,192 at most for 13 bits). A leaf whose points all have one
+value of the block, and still above DEEP points, is split on by whole distances with the whole radius, level by level from
+histograms of distances; there a point's home is one leaf, and it also visits, as a guest, the outer side of each split that it
+lies just inside of; guests then go to every side that they may reach. Each linked pair meets in the home leaf of one of the two
+in one tree at least. Leaves are searched one at a time with trees of their own over whole distances, and give a spanning forest
+of the links that they find, at most one edge for each point, never all pairs of a group. Components come from rounds of large
+and small stars.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from tallymark.llm.common import table, written
 
 BITS = 64
 SEED = 42  # of the hash, as the fingerprint's definition has it
-SHARD = 65_536  # points of a leaf, about
+SHARD = 4_096  # points of a leaf, about, as far as the values of a block allow
+DEEP = 65_536  # points of one value of a block beyond which a leaf is split by whole distances
 LEAF = 1_024  # points below which a leaf compares all with all
 BLOCK = 1 << 21  # comparisons held at once
 MAX_DEPTH = 40
@@ -65,12 +72,24 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", width: int = 4, name
     return rows.mapInArrow(work, f"{fields}, `{name}` bigint")
 
 
-class Tree:
-    """Inner nodes by number (root 1, children 2n and 2n + 1): the distance to the node's vantage code that goes inside at most."""
+def block_masks(radius: int) -> list[int]:
+    """radius + 1 disjoint blocks of bits, but of no fewer than 12 bits each."""
+    count = min(radius + 1, BITS // 12)
+    edges = [BITS * k // count for k in range(count + 1)]
+    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+
 
-    def __init__(self, cuts: dict[int, int]):
-        self.nodes = np.array([*sorted(cuts), 1 << 62], np.int64)
-        self.cuts = np.array([*(cuts[n] for n in sorted(cuts)), 0], np.int64)
+class Tree:
+    """Trees over blocks. Inner nodes by number (roots, children 2n and 2n + 1): the mask of the distance to the node's vantage
+    code, the radius of the search, and the distance that goes inside at most."""
+
+    def __init__(self, roots: int, cuts: dict[int, tuple[int, int, int]]):
+        """cuts: node to (mask, radius, cut); roots: a power of two, so that no subtree runs into another."""
+        self.roots, order = roots, sorted(cuts)
+        self.nodes = np.array([*order, 1 << 62], np.int64)
+        self.masks = np.array([*(cuts[n][0] for n in order), 0], np.uint64)
+        self.radii = np.array([*(cuts[n][1] for n in order), 0], np.int64)
+        self.cuts = np.array([*(cuts[n][2] for n in order), 0], np.int64)
         self.codes = np.array([self.vantage(n) for n in self.nodes.tolist()], np.uint64)
 
     @staticmethod
@@ -78,24 +97,17 @@ class Tree:
         """A fixed pseudo-random code for each node."""
         return xxhash.xxh64_intdigest(node.to_bytes(8, "little"), SEED)
 
-    def _at(self, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Is it an inner node, its cut, and the distance to its code."""
+    def _at(self, node: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Is it an inner node, its cut and radius, and the distance to its code."""
         k = np.searchsorted(self.nodes, node)
-        return self.nodes[k] == node, self.cuts[k], np.bitwise_count(fp ^ self.codes[k]).astype(np.int64)
-
-    def home(self, fp: np.ndarray) -> np.ndarray:
-        node = np.ones(len(fp), np.int64)
-        while True:
-            inner, cut, d = self._at(node, fp)
-            if not inner.any():
-                return node
-            node = np.where(inner, 2 * node + (d > cut), node)
+        return self.nodes[k] == node, self.cuts[k], self.radii[k], np.bitwise_count((fp ^ self.codes[k]) & self.masks[k]).astype(np.int64)
 
-    def visits(self, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, leaf, home) of all leaves of all points."""
-        at, node, home = np.arange(len(fp)), np.ones(len(fp), np.int64), np.ones(len(fp), bool)
+    def visits(self, fp: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, leaf, home) of all leaves of all points: a home in each tree, and guest visits."""
+        at = np.tile(np.arange(len(fp)), trees)
+        node, home = np.repeat(np.arange(self.roots, self.roots + trees), len(fp)), np.ones(len(at), bool)
         while True:
-            inner, cut, d = self._at(node, fp[at])
+            inner, cut, radius, d = self._at(node, fp[at])
             if not inner.any():
                 return at, node, home
             inside = d <= cut
@@ -107,19 +119,68 @@ class Tree:
             node = np.concatenate([own, 2 * node[out] + 1, 2 * node[back]])
 
 
-def grow(points: DataFrame, shard: int) -> Tree:
-    """Split every leaf above shard points at its median distance, level by level."""
-    cuts: dict[int, int] = {}
-    fresh = {1}
-    for _ in range(MAX_DEPTH):
-        tree, wanted = Tree(cuts), np.array(sorted(fresh), np.int64)
+def median_cut(counts: np.ndarray) -> int | None:
+    """The distance that splits a histogram of distances about in half; None if all are equally far."""
+    total = int(counts.sum())
+    cut = int(np.searchsorted(np.cumsum(counts), total / 2))
+    if counts[: cut + 1].sum() == total:  # the outer half is empty: cut below the farthest
+        cut = int(np.flatnonzero(counts)[-1]) - 1
+    return cut if 0 < counts[: cut + 1].sum() < total else None
+
+
+def spread_bits(values: np.ndarray, low: int) -> np.ndarray:
+    return values.astype(np.uint64) << np.uint64(low)
+
+
+def grow(points: DataFrame, radius: int, shard: int, deep: int) -> tuple[Tree, int]:
+    """The trees of all blocks, and how many there are."""
+    masks = block_masks(radius)
+    roots = 1 << (len(masks) - 1).bit_length()
+    lows = [(m & -m).bit_length() - 1 for m in masks]
+    small = radius // len(masks)
+    values = [F.shiftrightunsigned("fp", low).bitwiseAND((m >> low)) for m, low in zip(masks, lows)]
+    held = points.select(F.posexplode(F.array(*values)).alias("tree", "value")).groupBy("tree", "value").agg(F.count("*").alias("n"))
+    # One row for each value of a block: 2 to the power of its bits at most, whatever the number of points.
+    found = [(r["tree"], r["value"], r["n"]) for r in held.collect()]
+    cuts: dict[int, tuple[int, int, int]] = {}
+    left: list[int] = []  # leaves that their block can split no further, above deep points
+    for t, mask in enumerate(masks):
+        value = spread_bits(np.array([v for k, v, _ in found if k == t], np.int64), lows[t])
+        count = np.array([n for k, _, n in found if k == t], np.int64)
+        work = [(roots + t, np.arange(len(value)))]
+        while work:
+            node, rows = work.pop()
+            total = int(count[rows].sum())
+            if total <= shard:
+                continue
+            cut = None
+            if len(rows) > 1 and node.bit_length() < MAX_DEPTH:
+                d = np.bitwise_count((value[rows] ^ np.uint64(Tree.vantage(node))) & np.uint64(mask)).astype(np.int64)
+                cut = median_cut(np.bincount(d, weights=count[rows], minlength=BITS + 1).astype(np.int64))
+                if cut is None:  # several values, equally far: they go on whole to the next node's code
+                    work.append((2 * node, rows))
+                    cuts[node] = (mask, small, BITS)
+                    continue
+            if cut is None:
+                if total > deep:
+                    left.append(node)
+                continue
+            cuts[node] = (mask, small, cut)
+            work += [(2 * node, rows[d <= cut]), (2 * node + 1, rows[d > cut])]
+    return Tree(roots, _deepened(points, roots, len(masks), cuts, left, radius, deep)), len(masks)
+
+
+def _deepened(points: DataFrame, roots: int, trees: int, cuts: dict, fresh: list[int], radius: int, deep: int) -> dict:
+    """cuts with splits by whole distances below the leaves `fresh`, level by level; a histogram a leaf reaches the driver."""
+    while fresh:
+        tree, wanted = Tree(roots, cuts), np.array(sorted(fresh), np.int64)
 
         def seen(batches: Iterator[pa.RecordBatch], tree=tree, wanted=wanted) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                leaf = tree.home(fp)
-                held = np.isin(leaf, wanted)
-                leaf, fp = leaf[held], fp[held]
+                at, leaf, home = tree.visits(fp, trees)
+                held = home & np.isin(leaf, wanted)
+                leaf, fp = leaf[held], fp[at[held]]
                 nodes, k = np.unique(leaf, return_inverse=True)
                 codes = np.array([Tree.vantage(n) for n in nodes.tolist()], np.uint64)
                 d = np.bitwise_count(fp ^ codes[k]).astype(np.int64) if len(fp) else np.zeros(0, np.int64)
@@ -129,26 +190,24 @@ def grow(points: DataFrame, shard: int) -> Tree:
         found: dict[int, np.ndarray] = {}
         for r in points.mapInArrow(seen, "leaf bigint, d bigint, n bigint").groupBy("leaf", "d").agg(F.sum("n").alias("n")).collect():
             found.setdefault(r["leaf"], np.zeros(BITS + 1, np.int64))[r["d"]] += r["n"]
-        fresh = set()
+        fresh = []
         for n, counts in found.items():
-            total = int(counts.sum())
-            cut = int(np.searchsorted(np.cumsum(counts), total / 2))
-            if total > shard and counts[: cut + 1].sum() < total:  # else all are equally far, and the leaf stays whole
-                cuts[n] = cut
-                fresh |= {2 * n, 2 * n + 1}
-        if not fresh:
-            break
-    return Tree(cuts)
+            if counts.sum() > deep and n.bit_length() < MAX_DEPTH:
+                cut = median_cut(counts)
+                # All equally far from this code: the node passes them on whole, to the next node's code.
+                cuts[n] = ((1 << BITS) - 1, radius, BITS if cut is None else cut)
+                fresh += [2 * n] if cut is None else [2 * n, 2 * n + 1]
+    return cuts
 
 
-def shards(points: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
-    """points(fp) to (leaf, fp, home): the home leaf of each, and the leaves it visits."""
-    tree = grow(points, shard)
+def shards(points: DataFrame, radius: int, shard: int = SHARD, deep: int = DEEP) -> DataFrame:
+    """points(fp) to (leaf, fp, home): the home leaves of each, and the leaves it visits."""
+    tree, trees = grow(points, radius, shard, deep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            at, leaf, home = tree.visits(fp.view(np.uint64), radius)
+            at, leaf, home = tree.visits(fp.view(np.uint64), trees)
             yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fp[at]), pa.array(home)], names=["leaf", "fp", "home"])
 
     return points.select("fp").mapInArrow(work, "leaf bigint, fp bigint, home boolean")
@@ -222,23 +281,35 @@ def leaf_links(fp: np.ndarray, home: np.ndarray, radius: int) -> tuple[np.ndarra
     return held, forest.label[held]
 
 
-def links(points: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+def links(points: DataFrame, radius: int, shard: int = SHARD, deep: int = DEEP) -> DataFrame:
     """points(fp), distinct: edges (a, b) with a > b whose components are those of all links within the radius."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaves: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            leaf, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for n in np.unique(leaf):
-                leaves.setdefault(int(n), []).append(np.stack([fp[leaf == n], home[leaf == n].astype(np.int64)]))
-        for parts in leaves.values():
-            fp, home = np.concatenate(parts, axis=1)
-            a, b = leaf_links(fp.view(np.uint64), home.astype(bool), radius)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        last = None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            fp, home = (np.concatenate(x) for x in zip(*held))
+            a, b = leaf_links(fp.view(np.uint64), home, radius)
             a, b = np.maximum(fp[a], fp[b]), np.minimum(fp[a], fp[b])
             for k in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[k : k + 50_000]), pa.array(b[k : k + 50_000])], names=["a", "b"])
 
-    return shards(points, radius, shard).repartition("leaf").mapInArrow(work, "a bigint, b bigint").distinct()
+        for batch in batches:  # in order of leaves: one is held at a time
+            leaf, fp, home = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            edges = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if last is not None and leaf[a] != last:
+                    yield from found()
+                    held = []
+                held.append((fp[a:b].copy(), home[a:b].astype(bool)))
+                last = leaf[a]
+        if held:
+            yield from found()
+
+    return shards(points, radius, shard, deep).repartition("leaf").sortWithinPartitions("leaf").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,16 +335,17 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, shard: int = SHARD) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, shard: int = SHARD, deep: int = DEEP) -> DataFrame:
     """One row for each row of df: (id, fp bigint, component_id), component_id the smallest id that links reach.
 
     Null or empty text has fingerprint 0 and is linked like any other. Null ids: the row has a component, and its id does
     not count for the smallest (a component of null ids only has a null one). Repeated rows stay, each with the same result.
-    Other columns are not carried. An empty table gives an empty one.
+    Very long texts are
+    hashed in parts of 65,536 shingles. Other columns are not carried. An empty table gives an empty one.
     """
     rows = written(with_fingerprint(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "t", width).select("id", "fp"), "fingerprints")
     points = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "points")
-    linked = components(links(points.select("fp"), radius, shard)).withColumnRenamed("node", "fp")
+    linked = components(links(points.select("fp"), radius, shard, deep)).withColumnRenamed("node", "fp")
     rooted = points.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_point = rooted.join(lowest, "root").select("fp", "component_id")

@@ -71,17 +71,34 @@ def test_leaf_forest_matches_brute_force():
     assert (full.label == found.label).all()
 
 
-def test_shards_bring_every_linked_pair_together(spark):
-    rng = np.random.default_rng(4)
-    centre = rng.integers(0, 1 << 62, 200, dtype=np.int64)
-    fp = np.unique(np.concatenate([centre ^ (1 << rng.integers(0, 62, 200)) ^ (1 << rng.integers(0, 62, 200)) for _ in range(4)]))
-    found = sv.shards(spark.createDataFrame([(int(x),) for x in fp], "fp bigint"), 4, shard=20).collect()
+def met(found):
     leaves = {}
     for r in found:
         leaves.setdefault(r.leaf, {})[r.fp] = r.home
-    assert sum(sum(x.values()) for x in leaves.values()) == len(fp) and len(leaves) > 8
-    met = {(x, y) for held in leaves.values() for x in held for y in held if held[x] or held[y]}
-    for x in fp.tolist():
-        for y in fp.tolist():
-            if ((x ^ y) & (2**64 - 1)).bit_count() <= 4:
-                assert (x, y) in met
+    return leaves
+
+
+def test_shards_bring_every_linked_pair_together(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.integers(0, 1 << 62, 200, dtype=np.int64)
+    flip = lambda n: np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 62, (n, 200)), axis=0)
+    fp = np.unique(np.concatenate([centre ^ flip(n % 5) for n in range(8)]))
+    low = np.unique(np.concatenate([fp, rng.integers(0, 1 << 40, 300, dtype=np.int64) << 13]))  # many with one value of the first block
+    for points, shard, deep, radius in ((fp, 20, 1 << 20, 4), (low, 20, 60, 4), (fp, 30, 40, 2), (low, 16, 20, 9)):
+        leaves = met(sv.shards(spark.createDataFrame([(int(x),) for x in points], "fp bigint"), radius, shard, deep).collect())
+        assert len(leaves) > 8
+        pairs = {(x, y) for held in leaves.values() for x in held for y in held if held[x] or held[y]}
+        near = np.bitwise_count(points[:, None] ^ points[None]) <= radius
+        for i, j in zip(*np.nonzero(near)):
+            assert (int(points[i]), int(points[j])) in pairs
+
+
+def test_visits_of_a_point_do_not_grow(spark):
+    rng = np.random.default_rng(7)
+    for n in (2_000, 32_000):
+        fp = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n, dtype=np.int64))
+        points = spark.createDataFrame([(int(x),) for x in fp], "fp bigint")
+        leaves = sv.shards(points, 4, shard=64).groupBy("leaf").count().collect()
+        assert sum(r["count"] for r in leaves) == 5 * len(fp) and max(r["count"] for r in leaves) <= 64
+
+
