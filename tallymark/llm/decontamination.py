@@ -17,13 +17,15 @@ question came back with other numbers, names or units.
 An item shorter than a window, like an answer of one word, is no evidence inside a text: only a document that is that item and
 nothing else holds it.
 
-A document's windows pass a bit filter of the items' before they are joined, so only those that an item has are shuffled. The
-filter, and the items' words, are of a benchmark of block_bytes at most; a larger one takes more passes over the documents.
+A document's windows are first held against the hashes of the items' windows, so only those that an item has are shuffled. These
+hashes, and the items' words, are of a benchmark of block_bytes at most (one window for each two bytes at the very most, in three
+forms); a larger one takes more passes over the documents.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +40,10 @@ from tallymark.llm.common import SALTS, table, written
 
 WINDOW = 5
 LEAST = 0.8
-BLOCK_BYTES = 16 << 20
-MAX_MEMO = 300_000
+BLOCK_BYTES = 8 << 20
+MAX_MEMO = 500_000
 COMMON = 50  # places in the benchmark beyond which a window is left to rarer ones
 MAX_BROADCAST_WINDOWS = 1_000_000
-MAX_BITS = 29  # of the filter; 64 MB
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 # Words that stand for numbers, and units.
@@ -57,8 +58,14 @@ NUMBER_SET, UNIT_SET = set(NUMBER_WORDS), set(UNITS)
 
 def template(word: str, opens: bool) -> tuple[str, str]:
     """(token, slot value) of a word; opens: it begins a line or sentence, where a capital says nothing."""
-    core = word.strip(EDGE)
+    core = word if word.isalpha() else word.strip(EDGE)
     low = core.lower()
+    if core is word:  # letters only: no number in digits
+        if low in NUMBER_SET:
+            return NUM, low
+        if low in UNIT_SET:
+            return UNIT, low
+        return (NAME, low) if not opens and len(core) > 1 and core[0].isupper() and core[1:].islower() else (low, "")
     if not core:
         return (UNIT, word) if word in UNIT_SET else (word, "")
     if NUMBER.fullmatch(core) or low in NUMBER_SET:
@@ -110,11 +117,6 @@ def hashes(ids: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def held_in(codes: np.ndarray, x: int) -> bool:
-    k = int(np.searchsorted(codes, np.uint64(x)))
-    return k < len(codes) and int(codes[k]) == x
-
-
 class Item:
     """An item's words: codes of literal tokens, slot values, and which words are names (sure) or can be (maybe)."""
 
@@ -152,13 +154,13 @@ class Item:
 class Coder(dict):
     """From words to the place of their codes, as themselves and as names, filled as words are met.
 
-    A word that no item has can only be a name. vocabulary, names: codes of the items' words and sure names, ascending.
+    A word that no item has can only be a name. vocabulary, names: codes of the items' words and sure names.
     """
 
     def __init__(self, vocabulary: np.ndarray, names: np.ndarray):
         super().__init__()
-        self.vocabulary, self.names = vocabulary, names
-        self.both = np.zeros((2, 1 << 10), np.uint64)
+        self.vocabulary, self.names = set(vocabulary.tolist()), set(names.tolist())
+        self.plain, self.named = array("Q"), array("Q")
 
     def __missing__(self, word: str) -> int:
         token, value = template(word, False)
@@ -166,20 +168,19 @@ class Coder(dict):
         if token != NAME and value:
             a = b = own
         else:
-            a = own if held_in(self.vocabulary, own) else NAME_CODE
-            b = NAME_CODE if token == NAME or held_in(self.names, own) else a
-        k = len(self)
-        if k == self.both.shape[1]:
-            self.both = np.concatenate([self.both, np.zeros_like(self.both)], axis=1)
-        self.both[:, k] = a, b
-        self[word] = k
+            a = own if own in self.vocabulary else NAME_CODE
+            b = NAME_CODE if token == NAME or own in self.names else a
+        self[word] = k = len(self.plain)
+        self.plain.append(a)
+        self.named.append(b)
         return k
 
     def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self) > MAX_MEMO:
             self.clear()
+            self.plain, self.named = array("Q"), array("Q")
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.both[0][at], self.both[1][at]
+        return np.frombuffer(self.plain, np.uint64)[at], np.frombuffer(self.named, np.uint64)[at]
 
     def windows(self, text: str, window: int) -> np.ndarray:
         """Hashes of all windows of a text, of names both ways; of a text shorter than a window, of all of it."""
@@ -197,7 +198,7 @@ class Matcher:
         self.items = [x if isinstance(x, Item) else Item(x[0], x[1], window) for x in items if isinstance(x, Item) or (x[1] or "").split()]
         if coder is None:
             known = {int(c) for x in self.items for c in x.literal}
-            coder = Coder(np.sort(np.array([*known], np.uint64)), np.sort(np.array([*{n for x in self.items for n in x.names}], np.uint64)))
+            coder = Coder(np.array([*known], np.uint64), np.array([*{n for x in self.items for n in x.names}], np.uint64))
         self.coder = coder
 
     def find(self, text: str) -> list[tuple[int, float]]:
@@ -308,22 +309,25 @@ def chosen_windows(found: DataFrame, least: float) -> DataFrame:
     return places.join(kept.select("i", "ih", "q"), ["i", "ih", "q"], "left_semi").select("h", "i", "ih").distinct()
 
 
-def bit_filter(windows: DataFrame, count: int) -> np.ndarray:
-    """A bit for each value of the hashes' lowest bits, 16 bits for each hash as far as MAX_BITS go."""
-    bits = min(MAX_BITS, max(10, (16 * count).bit_length()))
-    at = F.col("h").bitwiseAND((1 << bits) - 1)
-    cells = windows.select(F.shiftright(at, 6).alias("cell"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
-    out = np.zeros(1 << (bits - 6), np.uint64)
-    rows = cells.groupBy("cell").agg(F.bit_or("bit").alias("word")).collect()
-    if rows:
-        out[np.array([r["cell"] for r in rows])] = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    return out
+class Held:
+    """Membership in a set of hashes: a bit for each value of their lowest bits lets few others through to a search."""
 
+    def __init__(self, known: np.ndarray):
+        """known: ascending."""
+        self.known = known
+        self.mask = np.uint64((1 << max(10, (16 * len(known)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) // 8 + 1, np.uint8)
+        at = known & self.mask
+        np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
-def passing(h: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """The hashes that a bit filter may hold."""
-    at = h & np.uint64(64 * len(held) - 1)
-    return h[(held[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    def those(self, h: np.ndarray) -> np.ndarray:
+        """The distinct hashes that are known."""
+        at = h & self.mask
+        h = h[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        if not len(h) or not len(self.known):
+            return h[:0]
+        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.unique(h[self.known[k] == h])
 
 
 def _one_block(rows: DataFrame, items: DataFrame, window: int, least: float) -> DataFrame:
@@ -333,16 +337,16 @@ def _one_block(rows: DataFrame, items: DataFrame, window: int, least: float) ->
     found = written(item_table(items, window), "item-words")
     windows = written(chosen_windows(found, least), "windows")
     count = windows.count()
-    bits = bit_filter(windows.select("h").distinct(), count)
-    vocabulary, names = (np.sort(np.array([r["h"] for r in found.filter(f"kind = {k}").select("h").distinct().collect()], np.int64).view(np.uint64)) for k in (1, 2))
+    of = lambda df: np.sort(df.select("h").distinct().toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+    known, vocabulary, names = of(windows), of(found.filter("kind = 1")), of(found.filter("kind = 2"))  # of block_bytes of text
     keyed = rows.withColumn("__rid", F.monotonically_increasing_id())
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocabulary, names)
+        coder, items_have = Coder(vocabulary, names), Held(known)
         for batch in batches:
             texts = batch.column(len(held))
-            hits = [np.unique(passing(coder.windows(t.as_py() or "", window), bits)).view(np.int64) for t in texts]
+            hits = [items_have.those(coder.windows(t.as_py() or "", window)).view(np.int64) for t in texts]
             some = pa.array([len(h) > 0 for h in hits], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.compute.if_else(some, texts, pa.scalar(None, texts.type)), batch.columns[-1], pa.array(hits, pa.list_(pa.int64()))], names=[*batch.schema.names, "__h"])
 
