@@ -58,9 +58,10 @@ NUMBER_SET, UNIT_SET = set(NUMBER_WORDS), set(UNITS)
 
 def template(word: str, opens: bool) -> tuple[str, str]:
     """(token, slot value) of a word; opens: it begins a line or sentence, where a capital says nothing."""
-    core = word if word.isalpha() else word.strip(EDGE)
+    letters = word.isalpha()
+    core = word if letters else word.strip(EDGE)
     low = core.lower()
-    if core is word:  # letters only: no number in digits
+    if letters:  # no number in digits
         if low in NUMBER_SET:
             return NUM, low
         if low in UNIT_SET:
@@ -185,9 +186,11 @@ class Coder(dict):
     def windows(self, text: str, window: int) -> np.ndarray:
         """Hashes of all windows of a text, of names both ways; of a text shorter than a window, of all of it."""
         words = text.split()
+        if not words:
+            return np.zeros(0, np.uint64)
         plain, named = self.codes(words)
         size = min(window, len(words))
-        return np.concatenate([hashes(plain, size), hashes(named, size)]) if size else np.zeros(0, np.uint64)
+        return np.concatenate([hashes(plain, size), hashes(named, size)])
 
 
 class Matcher:
