@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.config import CODES
+from tallymark.operators import exceptions as queueing
 from tallymark.operators import tiers
+from tallymark.sources.store import current_exceptions, with_ids
 
 
 def shared(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage between tiers: a table in the folder of spark.checkpoint.dir, or a local one where it is unset."""
+    """Cut lineage between tiers: a table in the folder of spark.checkpoint.dir, or a local one where it is unset and Spark runs in this process."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
+        base = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -40,6 +46,14 @@ class Outcome:
     matches: DataFrame
     exceptions: DataFrame
 
+    def resolutions(self) -> DataFrame:
+        """Exceptions of an earlier tier whose credit a later one matched, of the codes that a match may close."""
+        return queueing.superseded(with_ids(self.exceptions), self.matches)
+
+    def open_exceptions(self) -> DataFrame:
+        """The exceptions, with their ids, that no match supersedes."""
+        return current_exceptions(with_ids(self.exceptions), self.resolutions())
+
 
 def reconcile(bank: DataFrame, settled: DataFrame, which: tuple[int, ...] = (0, 1, 2), prefixes: tuple[str, ...] = (), drifts: DataFrame | None = None, proposals: DataFrame | None = None, with_names: bool = True, cut: bool = True) -> Outcome:
     """Run tiers in order, each on what earlier ones left, then sweep.
@@ -73,8 +87,12 @@ def reconcile(bank: DataFrame, settled: DataFrame, which: tuple[int, ...] = (0,
 
 
 def tier_outcomes(out: Outcome) -> DataFrame:
-    """By run and tier: credits and settlements matched."""
-    return out.matches.groupBy("run_id", "tier").agg(F.count("*").alias("matched_credits"), F.sum(F.size("settlement_ids")).alias("matched_settlements"))
+    """By run and tier: credits and settlements matched, and exceptions raised."""
+    won = out.matches.groupBy("run_id", "tier").agg(F.count("*").alias("matched_credits"), F.sum(F.size("settlement_ids")).alias("matched_settlements"))
+    tier = F.regexp_extract("raised_by", "^tier([0-3])$", 1).try_cast("int")
+    raised = out.exceptions.filter(tier.isNotNull()).groupBy("run_id", tier.alias("tier")).agg(F.count("*").alias("exceptions_raised"), F.count_if(F.col("code") == "MODEL_UNAVAILABLE").alias("model_unavailable"))
+    rows = won.join(raised, ["run_id", "tier"], "full_outer")
+    return rows.select("run_id", "tier", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched_credits", "matched_settlements", "exceptions_raised", "model_unavailable")])
 
 
 def run_report(out: Outcome) -> DataFrame:
@@ -84,24 +102,30 @@ def run_report(out: Outcome) -> DataFrame:
     parts = [
         out.bank.groupBy("run_id").agg(F.count("*").alias("bank_rows")),
         out.matches.groupBy("run_id").agg(F.count("*").alias("matches")),
-        out.exceptions.groupBy("run_id").agg(F.count("*").alias("exceptions")),
+        out.open_exceptions().groupBy("run_id").agg(F.count("*").alias("exceptions"), F.count_if(F.col("code") == "MODEL_UNAVAILABLE").alias("unanswered")),
         left.groupBy("run_id").agg(F.count("*").alias("unmatched_bank")),
         free.groupBy("run_id").agg(F.count("*").alias("unmatched_settlements")),
     ]
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.join(part, "run_id", "left")
-    return rows.select("run_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("bank_rows", "matches", "exceptions", "unmatched_bank", "unmatched_settlements")])
+    return rows.select("run_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("bank_rows", "matches", "exceptions", "unmatched_bank", "unmatched_settlements")], (F.coalesce("unanswered", F.lit(0)) > 0).alias("degraded"))
+
+
+ARMS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (3,))
 
 
-def ablation(bank: DataFrame, settled: DataFrame, truth: DataFrame, arms: tuple[tuple[int, ...], ...] = ((0,), (0, 1), (0, 1, 2)), with_names: bool = True) -> DataFrame:
-    """The scores of each set of tiers over the same ledger."""
+def ablation(bank: DataFrame, settled: DataFrame, truth: DataFrame, arms: tuple[tuple[int, ...], ...] = ARMS, proposals: DataFrame | None = None, with_names: bool = True) -> DataFrame:
+    """The scores of each set of tiers over the same ledger; an arm with a credit that no model answered is not measured: its figures are null."""
     from functools import reduce
 
     from tallymark.operators.scoring import score
 
     rows = []
     for arm in arms:
-        out = reconcile(bank, settled, arm, with_names=with_names)
-        rows.append(score(out.matches, truth, bank).select(F.lit("T" + "+T".join(map(str, arm))).alias("arm"), "*"))
+        out = reconcile(bank, settled, arm, proposals=proposals, with_names=with_names)
+        missing = out.exceptions.filter("code = 'MODEL_UNAVAILABLE'").agg((F.count("*") == 0).alias("measured"))
+        scored = score(out.matches, truth, bank).crossJoin(missing)  # one row each
+        figures = [F.when(F.col("measured"), F.col(c)).alias(c) for c in scored.columns if c != "measured"]
+        rows.append(scored.select(F.lit("T" + "+T".join(map(str, arm))).alias("arm"), *figures, "measured"))
     return reduce(DataFrame.unionByName, rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallymark.config import CODES, PATTERN_AT, REFUSED_PROPOSAL
+
 _AFTER = "(SELECT bd.d FROM bd WHERE bd.n = (SELECT count(*) FROM bd x WHERE x.d <= {day}) + {n})"
 
 
@@ -128,6 +130,27 @@ marked AS (SELECT raw.*, row_number() OVER (PARTITION BY run_id, bank_txn_id, va
   (CASE WHEN value_date = 'soon' THEN 'value_date: not valid; ' ELSE '' END) || (CASE WHEN credit_paise LIKE '-%' THEN 'credit_paise: not valid; ' ELSE '' END) || (CASE WHEN debit_paise = '1.5' THEN 'debit_paise: not valid; ' ELSE '' END) AS wrong FROM raw)"""
 
 
+REPLAY = """
+gc AS (SELECT run_id, bank_txn_id, schema_code, membership_code, arithmetic_code, confidence_code, coalesce(schema_code, membership_code, arithmetic_code, confidence_code) AS code, kind FROM gate),
+rep AS (SELECT run_id, bank_txn_id, coalesce(schema_code, 'pass') AS schema, CASE WHEN schema_code IS NOT NULL THEN 'not reached' ELSE coalesce(membership_code, 'pass') END AS membership,
+  CASE WHEN schema_code IS NOT NULL OR membership_code IS NOT NULL THEN 'not reached' ELSE coalesce(arithmetic_code, 'pass') END AS arithmetic,
+  CASE WHEN schema_code IS NOT NULL OR membership_code IS NOT NULL OR arithmetic_code IS NOT NULL THEN 'not reached' ELSE coalesce(confidence_code, 'pass') END AS confidence,
+  coalesce(code, CASE WHEN kind = 4 THEN 'NO_MATCH' ELSE 'ACCEPTED' END) AS verdict FROM gc)"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def diagnosis() -> str:
+    """Of n members with code and m from the model: what the clusters say."""
+    action = "CASE code " + " ".join(f"WHEN {quoted(c)} THEN {quoted(x.action)}" for c, x in CODES.items()) + " END"
+    refused = f"CASE WHEN code = 'AMOUNT_BEYOND_TOLERANCE' AND m = n THEN {quoted(REFUSED_PROPOSAL)} ELSE {action} END"
+    count = "CAST(n AS VARCHAR)"
+    said = {"code = 'AMOUNT_BEYOND_TOLERANCE' AND m = n": " proposals were refused; the arithmetic gate works.", "code = 'AMOUNT_BEYOND_TOLERANCE'": " records point to one wrong assumption in the fee model.", "code = 'DATE_OUT_OF_WINDOW'": " records point to one wrong assumption about timing.", "code = 'LLM_INVALID_OUTPUT'": " answers were unusable; look at the model or prompt."}
+    return f"CASE WHEN n < {PATTERN_AT} THEN {count} || ' record(s). ' || {refused} " + " ".join(f"WHEN {when} THEN {count} || {quoted(text)}" for when, text in said.items()) + f" ELSE {count} || ' records share this code; look for a common cause.' END"
+
+
 def sql() -> dict[str, str]:
     def q(select: str, *parts: str) -> str:
         return "WITH " + ",".join((LEDGER, *parts)) + "\n" + select
@@ -168,6 +191,17 @@ GROUP BY run_id, bank_txn_id HAVING max(wanted) = 1 AND count(*) = 1""", T0, T1)
         "sweep_codes": q("SELECT rb.run_id, rb.bank_txn_id, CASE WHEN count(a.settlement_id) > 0 THEN 'NO_CANDIDATE' ELSE 'ORPHAN_CREDIT' END AS code, count(a.settlement_id) AS pool_size FROM rb LEFT JOIN (SELECT s.*, latest FROM s JOIN win USING (settled_on)) a ON a.run_id = rb.run_id AND rb.value_date BETWEEN a.settled_on AND a.latest AND a.net_amount_paise <= rb.credit_paise + 100 WHERE rb.credit_paise > 0 GROUP BY rb.run_id, rb.bank_txn_id", T0, WINDOW),
         "exception_queue": q("SELECT run_id, bank_txn_id, exception_id, code, value_at_risk_paise, history, raised_by FROM q", LOG, QUEUE),
         "exception_clusters": q("SELECT run_id, code, count(*) AS members, CAST(sum(value_at_risk_paise) AS BIGINT) AS value_at_risk_paise, count(*) FILTER (raised_by = 'tier3') AS from_model FROM q GROUP BY run_id, code", LOG, QUEUE),
+        "exception_actions": q(f"SELECT run_id, code, {diagnosis()} AS diagnosis FROM (SELECT run_id, code, count(*) AS n, count(*) FILTER (raised_by = 'tier3') AS m FROM q GROUP BY run_id, code)", LOG, QUEUE),
+        "t3_prompts": q(f"""SELECT x.run_id, x.bank_txn_id, 'Prompt v1. Which settlements explain this credit? Answer in JSON.' || chr(10) || x.bank_txn_id || ' | ' || CAST(x.credit_paise AS VARCHAR) || ' | ' || CAST(x.value_date AS VARCHAR) || ' | ' || x.narration || chr(10) || 'Candidates:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS prompt
+ FROM (SELECT pool.*, pool.settlement_id || ' | ' || CAST(pool.net_amount_paise AS VARCHAR) || ' | ' || CAST(s.settled_on AS VARCHAR) || ' | ' || coalesce(s.utr, '-') || ' | ' || s.customer_name AS line, row_number() OVER (PARTITION BY pool.run_id, pool.bank_txn_id ORDER BY coalesce(greatest(0, 64 - {distance('pool.narration', 'pool.utr')}), 0) DESC, pool.settlement_id) AS place FROM pool JOIN s ON s.run_id = pool.run_id AND s.settlement_id = pool.settlement_id) x
+ WHERE place <= 8 GROUP BY x.run_id, x.bank_txn_id, x.credit_paise, x.value_date, x.narration""", T0, POOL),
+        "t3_replay": q("SELECT * FROM rep", T0, POOL, GATES, REPLAY),
+        "replay_examples": q("SELECT run_id, bank_txn_id, verdict, place FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY again, verdict, bank_txn_id) AS place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, verdict ORDER BY bank_txn_id) > 1 AS INTEGER) AS again FROM rep)) WHERE place <= 6", T0, POOL, GATES, REPLAY),
+        "match_evidence": q("""SELECT t0.run_id, t0.bank_txn_id, '{"rule_id":"' || rule_id || '","credit_paise":' || CAST(credit_paise AS VARCHAR) || ',"net_paise":' || CAST(net_amount_paise AS VARCHAR) || ',"difference_paise":' || CAST(credit_paise - net_amount_paise AS VARCHAR) || ',"value_date":"' || CAST(value_date AS VARCHAR) || '","first_settled_on":"' || CAST(settled_on AS VARCHAR) || '","members":1}' AS evidence,
+ CAST(NULL AS VARCHAR) AS model, CAST(NULL AS VARCHAR) AS prompt_version, CAST(2 AS BIGINT) AS prints FROM t0 JOIN b USING (run_id, bank_txn_id) JOIN s ON s.run_id = t0.run_id AND s.settlement_id = t0.settlement_id""", T0),
+        "score_stored_run": q(f"SELECT run_id, {SCORE} FROM j GROUP BY run_id", T0, SCORED),
+        "open_codes": q("SELECT run_id, code, count(*) AS open FROM q GROUP BY run_id, code", LOG, QUEUE),
+        "resolution_closes": q("SELECT log.run_id, log.exception_id, log.code FROM log JOIN b USING (run_id, bank_txn_id) WHERE b.file_seq % 7 = 0", LOG),
         "exceptions_by_code": q("SELECT code, count(*) AS n, CAST(sum(value_at_risk_paise) AS BIGINT) AS value_at_risk_paise FROM q GROUP BY code", LOG, QUEUE),
         "supersede": q("SELECT DISTINCT log.run_id, log.exception_id, log.code FROM log JOIN t0 USING (run_id, bank_txn_id) WHERE code <> 'AMBIGUOUS_SUBSET'", T0, LOG),
         "queue_top": q("SELECT bank_txn_id, value_at_risk_paise FROM q ORDER BY value_at_risk_paise DESC, bank_txn_id, exception_id LIMIT 20", LOG, QUEUE),

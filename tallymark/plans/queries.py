@@ -11,7 +11,7 @@ from tallymark.functions import money, references
 from tallymark.functions.calendar import business_days_after
 from tallymark.functions.similarity import name_similarity
 from tallymark.operators import adjudication, exceptions, provenance, rules, scoring, tiers
-from tallymark.plans import cascade
+from tallymark.plans import cascade, learning
 from tallymark.sources import ingest, ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,18 @@ def gates(bank: DataFrame, settled: DataFrame) -> DataFrame:
     return adjudication.gated(answers, bank, settled, offered).select("run_id", "bank_txn_id", "schema_code", "membership_code", "arithmetic_code", "confidence_code", "code")
 
 
+def replayed(bank: DataFrame, settled: DataFrame) -> DataFrame:
+    answers, offered = scripted(bank, settled)
+    return adjudication.replay(answers, bank, settled, offered)
+
+
+def by_hand(bank: DataFrame, settled: DataFrame) -> DataFrame:
+    """The first exception of every seventh credit, resolved with some settlement: what else that closes."""
+    log = exception_log(bank)
+    chosen = bank.filter("file_seq % 7 = 0").select("run_id", F.concat_ws("-", "run_id", "bank_txn_id", F.lit("0")).alias("exception_id"), F.lit("S").alias("settlement_id"))
+    return exceptions.resolved_by_hand(log, chosen).select("run_id", "exception_id", "code")
+
+
 def pair_sums(bank: DataFrame, settled: DataFrame) -> DataFrame:
     """How many single settlements and pairs of a pool add up to its credit."""
     pool = tiers.pool(bank, settled).select("run_id", "bank_txn_id", "credit_paise", "settlement_id", "net_amount_paise")
@@ -195,8 +207,8 @@ def queries() -> dict[str, Query]:
         "t3_prompts": on_residual(lambda b, s: adjudication.prompts(b, adjudication.ranked(b, s, with_names=False), s)),
         "t3_gates": on_residual(gates),
         "sweep_codes": with_t0(lambda b, s, m: tiers.sweep(b, s, tiers.residual(b, s, m)[0], b.limit(0)).select("run_id", "bank_txn_id", "code", F.get_json_object("detail", "$.pool_size").cast("bigint").alias("pool_size"))),
-        "exception_queue": on_ledger(lambda b, s: queued(b).drop("suggested_action")),
-        "exception_clusters": on_ledger(lambda b, s: exceptions.clusters(queued(b)).drop("diagnosis")),
+        "exception_queue": on_ledger(lambda b, s: queued(b).drop("suggested_action", "counterparty")),
+        "exception_clusters": on_ledger(lambda b, s: exceptions.clusters(queued(b)).drop("diagnosis", "counterparties")),
         "exception_actions": on_ledger(lambda b, s: exceptions.clusters(queued(b)).select("run_id", "code", "diagnosis")),
         "exceptions_by_code": on_ledger(lambda b, s: exceptions.by_code(queued(b))),
         "supersede": with_t0(lambda b, s, m: exceptions.superseded(exception_log(b), m).select("run_id", "exception_id", "code")),
@@ -214,7 +226,16 @@ def queries() -> dict[str, Query]:
         "paise_parse": on_ledger(lambda b, s: b.select("bank_txn_id", money.parse_rupees(money.format_lakh(F.col("credit_paise"))).alias("paise"))),
         "cascade_outcomes": cascade_of((0, 1, 2)),
         "cascade_with_answers": cascade_of((0, 1, 2, 3), True),
-        "ablation_arms": lambda spark, d: text(cascade.ablation(*loaded(spark, d), ledger.truth(spark, d))),
+        "ablation_arms": lambda spark, d: text(cascade.ablation(*loaded(spark, d), ledger.truth(spark, d), proposals=scripted(*loaded(spark, d))[0])),
+        "t3_replay": on_residual(lambda b, s: replayed(b, s).select("run_id", "bank_txn_id", "schema", "membership", "arithmetic", "confidence", "verdict")),
+        "replay_examples": on_residual(lambda b, s: adjudication.examples(replayed(b, s), 6).select("run_id", "bank_txn_id", "verdict", "place")),
+        "match_evidence": with_t0(lambda b, s, m: provenance.recorded(m, b, s, *printed(b, s), model="m", prompt_version="v").select("run_id", "bank_txn_id", "evidence", "model", "prompt_version", F.size("fingerprints").alias("prints"))),
+        "score_stored_run": lambda spark, d: on_ledger(lambda b, s: scoring.score_run(tiers.tier0(b, s), exception_log(b), ledger.truth(spark, d), b)[0])(spark, d),
+        "open_codes": lambda spark, d: on_ledger(lambda b, s: scoring.score_run(tiers.tier0(b, s), exception_log(b), ledger.truth(spark, d), b)[1])(spark, d),
+        "resolution_closes": on_ledger(by_hand),
+        "superseded_in_cascade": on_ledger(lambda b, s: cascade.reconcile(b, s).resolutions().select("run_id", "bank_txn_id", "code", "resolution")),
+        "rule_lift": lambda spark, d: text(learning.lift(*loaded(spark, d), ledger.truth(spark, d))),
+        "call_estimate": on_ledger(learning.call_estimate),
     }
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
-from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +61,31 @@ class Patient:
 
 
 def cached_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """(key, response) of a folder of JSON records."""
+    """(key, response) of a folder of JSON records; a folder that is not there has none."""
+    from pyspark.sql.utils import AnalysisException
+
+    try:
+        spark.read.text(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], "key string, response string")
     return spark.read.schema("key string, response string").option("multiLine", True).json(folder)
 
 
+class HttpAdapter:
+    """A provider behind an HTTP endpoint that takes {"model", "prompt"} and gives {"text"}; errors are OSErrors, which Patient retries."""
+
+    def __init__(self, name: str, url: str, token: str = "", timeout: float = 60.0):
+        self.name, self.url, self.token, self.timeout = name, url, token, timeout
+
+    def complete(self, prompt: str) -> str:
+        from urllib.request import Request, urlopen
+
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.token}"} if self.token else {})
+        body = json.dumps({"model": self.name, "prompt": prompt}).encode()
+        with urlopen(Request(self.url, body, head), timeout=self.timeout) as r:
+            return json.load(r)["text"]
+
+
 def looked_up(prompts: DataFrame, cache: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
     """(answers, misses): prompts with their cached response, and those without."""
     keyed = prompts.withColumn("key", cache_key(F.lit(model), F.col("prompt")))
@@ -78,13 +98,13 @@ def ask(misses: DataFrame, adapter: Adapter | None, folder: str) -> int:
     if adapter is None:
         return 0
     asked = 0
-    Path(folder).mkdir(parents=True, exist_ok=True)
+    spark = misses.sparkSession
     for row in misses.orderBy("run_id", "bank_txn_id").toLocalIterator():
         try:
             said = adapter.complete(row["prompt"])
         except Unavailable:
             break
-        key = key_of(adapter.name, row["prompt"])
-        Path(folder, f"{key}.json").write_text(json.dumps({"key": key, "response": said}, sort_keys=True), encoding="utf-8")
+        record = spark.createDataFrame([(key_of(adapter.name, row["prompt"]), said)], "key string, response string")
+        record.coalesce(1).write.mode("append").json(folder)  # one file each, so that an answer is kept before the next is asked for
         asked += 1
     return asked

@@ -90,6 +90,14 @@ def test_command_line_round(spark, tmp_path):
     page = (tmp_path / "r.html").read_text()
     assert "<r>" not in page and "&lt;r&gt;" in page and "http" not in page
     store = Store(spark, f"{at}/s")
+    kept = store.read("matches")
+    assert kept.filter("evidence is null or size(fingerprints) < 2 or model is not null").isEmpty()
+    held = store.read("exceptions")
+    open_rows = [] if held is None else held.orderBy("exc_seq").collect()
+    if open_rows:
+        settlement = store.read("settlements").first()["settlement_id"]
+        cli.main(["resolve", "--store", f"{at}/s", "--run", "<r>", "--exception", open_rows[0]["exception_id"], "--settlement", settlement, "--rules", f"{at}/rules.yaml"])
+        assert open_rows[0]["exception_id"] in {r.exception_id for r in store.read("resolutions").collect()}
     assert store.read("matches").count() > 0 and store.held("quarantine", "run_id string").count() == 0
 
 
@@ -101,7 +109,7 @@ def test_cached_answers_are_not_asked_again(spark, tmp_path):
     assert model.ask(misses, adapter, str(tmp_path / "c")) == 2 and len(adapter.asked) == 2
     answers, misses = model.looked_up(prompts, model.cached_answers(spark, str(tmp_path / "c")), adapter.name)
     assert {r.bank_txn_id: r.response for r in answers.collect()} == {"B1": "one", "B2": "two"} and misses.count() == 0
-    assert json.loads(next((tmp_path / "c").iterdir()).read_text())["key"]
+    assert json.loads(next((tmp_path / "c").glob("*.json")).read_text())["key"]
     assert adjudication.cost_estimate(prompts).first().calls == 2
     slept = []
 
