@@ -186,19 +186,15 @@ def listed(found: Column) -> Column:
 
 
 def held_kinds(low: Column, queries: dict[str, list[frozenset[str]]]) -> Column:
-    """The rules whose query a lower-case text meets: its postings, intersected by alternative."""
-    named = sorted({t for q in queries.values() for c in q for t in c})
-    if not named:
-        return F.array().cast("array<string>")
-    place = {t: k for k, t in enumerate(named)}
-    entries = F.array(*[F.contains(low, F.lit(t)) for t in named])  # one posting for each trigram that a query names
+    """The rules whose query a lower-case text meets: its postings intersected by alternative, each only as far as the last had one."""
 
-    def meets(p: Column, query: list[frozenset[str]]) -> Column:
-        every = [reduce(lambda a, b: a & b, [p[place[t]] for t in sorted(c)]) for c in query]
+    def meets(query: list[frozenset[str]]) -> Column:
+        every = [reduce(lambda a, b: a & b, [F.contains(low, F.lit(t)) for t in sorted(c, key=lambda t: (t.isalpha(), t))]) for c in query]
         return reduce(lambda a, b: a | b, every)
 
-    # transform over one row's entries keeps them from being worked out once for each use
-    return F.transform(F.array(entries), lambda p: F.filter(F.array(*[F.when(meets(p, q), F.lit(k)) for k, q in queries.items()]), lambda k: k.isNotNull()))[0]
+    if not queries:
+        return F.array().cast("array<string>")
+    return F.filter(F.array(*[F.when(meets(q), F.lit(k)) for k, q in queries.items()]), lambda k: k.isNotNull())
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -212,8 +208,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bo
     held = [c for c in df.columns if c != "secrets"] if keep else [id_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     queries = {k: alternatives(p) for k, p in (BASE | ADDED).items()}
-    kinds = held_kinds(F.lower(F.col("__t")), {k: q for k, q in queries.items() if q is not None})
-    docs = df.select(*[F.col(f"`{c}`") for c in held], text.alias("__t")).select(*[F.col(f"`{c}`") for c in held], "__t", kinds.alias("__kinds"))
+    kinds = held_kinds(F.col("__low"), {k: q for k, q in queries.items() if q is not None})
+    docs = df.select(*[F.col(f"`{c}`") for c in held], text.alias("__t"))
+    docs = docs.select("*", F.lower("__t").alias("__low"))  # a column of its own, so that it is made once for all trigrams
+    docs = docs.select(*[F.col(f"`{c}`") for c in held], "__t", kinds.alias("__kinds"))
     parts = []
     for kind, pattern in (BASE | ADDED).items():
         all_of = spans(F.col("__t"), kind, LONG_ONLY.get(kind, pattern), 0 if kind in LONG_ONLY else LEAST.get(kind, 0), 2 if kind == "assign" else 0)
