@@ -30,7 +30,7 @@ GRAM = 64
 SLICE_BYTES = 1 << 20
 TEXT_BYTES = 4 << 20  # of a text whose runs are sought at once
 BLOCK_BYTES = 2 << 20
-HOT_ROWS = 4_096  # rows of a gram that is too common for one task
+HOT_ROWS = 4_096  # rows, and then kinds of rows, of a gram that is too common for one task
 MAX_BROADCAST = 200_000  # such grams
 SALTS = 64
 V = 73
@@ -244,7 +244,7 @@ def with_hot(rows: DataFrame, hot: DataFrame, few: bool) -> DataFrame:
     if few:
         return rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     spread = hot.select("g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("s", "first"), F.lit(SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("s", *(c for c in ("first",) if c in rows.columns)), F.lit(SALTS)).cast("int"))
     return salted.join(spread, ["g", "salt"], "left").drop("salt").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
 
@@ -263,7 +263,11 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: in
     alike = live.join(kinds.filter("n > 1").select("g", "s"), ["g", "s"], "left_semi").select("key", "first", (F.col("first") + F.col("count")).alias("last"))
     # A rare gram's kinds meet in one task (hot rows at most); those of a common one need no partner to be told.
     several = buckets.filter((F.col("n") <= hot) & ~F.col("alike")).select("g")
-    picked = kinds.filter("not hot").join(several, "g", "left_semi").unionByName(kinds.filter("hot"))
+    # Of the common ones those with few kinds are sorted like the rare.
+    wide = written(kinds.filter("hot"), "wide")
+    many = written(wide.groupBy("g").agg(F.count("*").alias("k")).filter(F.col("k") > hot).select("g"), "many")
+    wide = with_hot(wide.drop("hot"), many, many.count() <= max_broadcast).select(*kinds.columns)
+    picked = kinds.filter("not hot").join(several, "g", "left_semi").unionByName(wide)
     sent = written(picked.select("g", "s", "n", "hot", "one.key", "one.first", "one.count"), "kinds")
     by_doc = sent.groupBy("key").agg(F.collect_list(F.struct("g", "s", "n", "first", "count", "hot")).alias("r"))
     schema = "g bigint, s bigint, n bigint, count int, bytes binary, offset int, name bigint"
@@ -298,7 +302,13 @@ def repeated_ranges(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot: in
     else:
         names = shipped.filter("bytes is null")
         again = names.groupBy("g", "name").agg(F.sum("n").alias("times")).filter("times > 1").select("g", "name")
-        counted = names.filter("n = 1").join(again, ["g", "name"], "left_semi").select("g", "s", "offset", F.lit(1).alias("length"))
+        counted = names.filter("n = 1").join(again, ["g", "name"], "left_semi")
+        # A kind has span - gram + 1 suffixes at most: those that follow each other are one range.
+        at = counted.groupBy("g", "s").agg(F.array_sort(F.collect_set("offset")).alias("at"))
+        heads = F.filter("at", lambda x: ~F.array_contains("at", x - 1))
+        lasts = F.filter("at", lambda x: ~F.array_contains("at", x + 1))
+        ranges = F.arrays_zip(heads.alias("a"), lasts.alias("b"))
+        counted = at.select("g", "s", F.explode(ranges).alias("r")).select("g", "s", F.col("r.a").alias("offset"), (F.col("r.b") - F.col("r.a") + 1).alias("length"))
         found = sorted_blocks(shipped.filter("bytes is not null"), span).union(counted)
     at = F.col("first") + F.col("offset")
     partly = found.join(sent.filter("n = 1").select("g", "s", "key", "first"), ["g", "s"]).select("key", at.alias("first"), (at + F.col("length")).alias("last"))
