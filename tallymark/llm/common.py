@@ -16,8 +16,10 @@ SLICE_CHARS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one where the setting is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a local one where the setting is unset and Spark runs in this process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
     return (found or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
