@@ -33,15 +33,25 @@ def one(matches: DataFrame) -> DataFrame:
 _loaded: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
-def loaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(bank, settlements) as tables in the shared folder, derived once for each session and input."""
+def tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(credits with their truth, settlements) as tables in the shared folder, derived once for each session and input."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _loaded:
-        settled = cascade.shared(ledger.settlements(spark, d).drop("k", "r", "i", "decoy"), "settlements")
-        _loaded[key] = (cascade.shared(ledger.bank(spark, d), "bank"), settled)
+        settled = cascade.shared(ledger.settlements(spark, d), "settlements")
+        _loaded[key] = (cascade.shared(ledger.credits(settled), "bank"), settled)
     return _loaded[key]
 
 
+def loaded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(bank, settlements) as the matching stages take them."""
+    credits, settled = tables(spark, d)
+    return credits.drop("settlement_ids"), settled.drop("k", "r", "i", "decoy")
+
+
+def known_truth(spark: SparkSession, d: str) -> DataFrame:
+    return tables(spark, d)[0].select("run_id", "bank_txn_id", "settlement_ids")
+
+
 def on_ledger(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, d: text(f(*loaded(spark, d)))
 
@@ -130,14 +140,14 @@ def pair_sums(bank: DataFrame, settled: DataFrame) -> DataFrame:
 def cascade_of(which: tuple[int, ...], scripted_answers: bool = False) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         bank, settled = loaded(spark, d)
-        proposals = scripted(bank, settled)[0] if scripted_answers else None
+        proposals = cascade.shared(scripted(bank, settled)[0], "answers") if scripted_answers else None
         return text(cascade.tier_outcomes(cascade.reconcile(bank, settled, which, proposals=proposals)))
 
     return query
 
 
 def decisions(bank: DataFrame, settled: DataFrame) -> DataFrame:
-    found, raised = tiers.tier2(bank, settled)
+    found, raised = tiers.tier2(bank, settled, keep=cascade.shared)
     rows = found.select("run_id", "bank_txn_id", F.lit("POSTED").alias("code"), "settlement_ids")
     return rows.unionByName(raised.select("run_id", "bank_txn_id", "code", F.array().cast("array<string>").alias("settlement_ids")))
 

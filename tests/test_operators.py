@@ -277,3 +277,39 @@ def test_tier_spec():
     for bad in ("", "4", "a", " , "):
         with pytest.raises(ValueError):
             cascade.parse_tiers(bad)
+
+
+def test_a_subset_search_over_few_agrees_with_the_budgeted_one():
+    rnd = random.Random(7)
+    for _ in range(400):
+        pool = [(f"S{k}", rnd.randint(0, 30)) for k in range(rnd.randint(0, 8))]
+        target, band, most = rnd.randint(1, 90), rnd.randint(0, 3), rnd.randint(1, 8)
+        want = sorted((tuple(sorted(o)) for o in brute_subsets(pool, target, band, most)))
+        found, complete = find_subsets(pool, target, band, most, 10**6, enough=10**6)
+        assert complete and sorted(found) == want
+        by_place = sorted(pool, key=lambda x: (-x[1], x[0]))
+        order = sorted((tuple(k for k, x in enumerate(by_place) if x[0] in f) for f in found))
+        first = [tuple(sorted(by_place[k][0] for k in o)) for o in order[:2]]
+        assert find_subsets(pool, target, band, most, 10**6)[0] == first
+
+
+def test_runs_stream_in_order_whole_and_once(spark):
+    rows = spark.range(30_000).select(F.concat(F.lit("R"), F.col("id") % 3).alias("run_id"), (-F.col("id")).alias("n"), F.when(F.col("id") % 2 == 0, F.lit("x")).alias("t"))
+
+    def decide(run, part):
+        seen = [(n, t) for _, n, t in part]
+        yield run, len(seen), [t for _, t in seen[:2]], seen == sorted(seen, key=lambda x: x[0]), sum(t == "x" for _, t in seen)
+
+    found = tiers.by_run(rows, ("n",), lambda run, part: ((a, b, c, int(d), e) for a, b, c, d, e in decide(run, part)), "run_id string, n bigint, first array<string>, ordered int, x bigint").collect()
+    assert sorted((r.run_id, r.n, r.ordered, r.x) for r in found) == [(f"R{k}", 10_000, 1, 5_000) for k in range(3)]
+
+
+def test_tiers_that_raise_decide_once(spark, monkeypatch):
+    cuts = []
+    keep = cascade.shared
+    monkeypatch.setattr(cascade, "shared", lambda df, tag: cuts.append(tag) or keep(df, tag))
+    b = bank(spark, ("B1", 20_500, "x", 0), ("B2", 999, "y", 0))
+    s = settled(spark, ("S1", "upi", 1, 10_300, None, "A", 0), ("S2", "upi", 1, 10_200, None, "A", 0), ("S3", "upi", 1, 800, None, "A", 0))
+    out = cascade.reconcile(b, s, (0, 1, 2, 3), proposals=spark.createDataFrame([("R", "B2", GOOD.replace("S1", "S3"))], "run_id string, bank_txn_id string, response string"))
+    assert {(r.bank_txn_id, r.tier) for r in out.matches.collect()} == {("B1", 2)} and [(r.bank_txn_id, r.code) for r in out.exceptions.collect()] == [("B2", "AMOUNT_BEYOND_TOLERANCE")]
+    assert cuts.count("tier2") == cuts.count("tier3") == 1 and "raised2" not in cuts and "raised3" not in cuts
