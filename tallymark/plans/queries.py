@@ -236,7 +236,7 @@ def queries() -> dict[str, Query]:
         "paise_parse": on_ledger(lambda b, s: b.select("bank_txn_id", money.parse_rupees(money.format_lakh(F.col("credit_paise"))).alias("paise"))),
         "cascade_outcomes": cascade_of((0, 1, 2)),
         "cascade_with_answers": cascade_of((0, 1, 2, 3), True),
-        "ablation_arms": lambda spark, d: text(cascade.ablation(*loaded(spark, d), ledger.truth(spark, d), proposals=scripted(*loaded(spark, d))[0])),
+        "ablation_arms": lambda spark, d: text(cascade.ablation(*loaded(spark, d), known_truth(spark, d), proposals=cascade.shared(scripted(*loaded(spark, d))[0], "answers"))),
         "t3_replay": on_residual(lambda b, s: replayed(b, s).select("run_id", "bank_txn_id", "schema", "membership", "arithmetic", "confidence", "verdict")),
         "replay_examples": on_residual(lambda b, s: adjudication.examples(replayed(b, s), 6).select("run_id", "bank_txn_id", "verdict", "place")),
         "match_evidence": with_t0(lambda b, s, m: provenance.recorded(m, b, s, *printed(b, s), model="m", prompt_version="v").select("run_id", "bank_txn_id", "evidence", "model", "prompt_version", F.size("fingerprints").alias("prints"))),

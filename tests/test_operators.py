@@ -313,3 +313,16 @@ def test_tiers_that_raise_decide_once(spark, monkeypatch):
     out = cascade.reconcile(b, s, (0, 1, 2, 3), proposals=spark.createDataFrame([("R", "B2", GOOD.replace("S1", "S3"))], "run_id string, bank_txn_id string, response string"))
     assert {(r.bank_txn_id, r.tier) for r in out.matches.collect()} == {("B1", 2)} and [(r.bank_txn_id, r.code) for r in out.exceptions.collect()] == [("B2", "AMOUNT_BEYOND_TOLERANCE")]
     assert cuts.count("tier2") == cuts.count("tier3") == 1 and "raised2" not in cuts and "raised3" not in cuts
+
+
+def test_arms_share_the_tiers_that_they_begin_with(spark, monkeypatch):
+    cuts = []
+    keep = cascade.shared
+    monkeypatch.setattr(cascade, "shared", lambda df, tag: cuts.append(tag) or keep(df, tag))
+    b = bank(spark, ("B1", 20_500, "x", 0), ("B2", 700, "NEFT/RZRPY7777777/A", 0))
+    s = settled(spark, ("S1", "upi", 1, 10_300, None, "A", 0), ("S2", "upi", 1, 10_200, None, "A", 0), ("S3", "upi", 700, 700, "RZRPY7777777", "C", 0))
+    truth = spark.createDataFrame([("R", "B1", ["S1", "S2"]), ("R", "B2", ["S3"])], "run_id string, bank_txn_id string, settlement_ids array<string>")
+    told = spark.createDataFrame([("R", "B1", GOOD.replace('["S1"]', '["S2","S1"]')), ("R", "B2", GOOD.replace("S1", "S3"))], "run_id string, bank_txn_id string, response string")
+    arms = {r.arm: r for r in cascade.ablation(b, s, truth, proposals=told).collect()}
+    assert {a: (r.posted, r.correct, r.measured) for a, r in arms.items()} == {"T0": (1, 1, True), "T0+T1": (1, 1, True), "T0+T1+T2": (2, 2, True), "T0+T1+T2+T3": (2, 2, True), "T3": (2, 2, True)}
+    assert [cuts.count(t) for t in ("tier0", "tier1", "tier2", "tier3")] == [1, 1, 1, 2]
