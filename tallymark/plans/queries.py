@@ -244,7 +244,7 @@ def queries() -> dict[str, Query]:
         "open_codes": lambda spark, d: on_ledger(lambda b, s: scoring.score_run(tiers.tier0(b, s), exception_log(b), ledger.truth(spark, d), b)[1])(spark, d),
         "resolution_closes": on_ledger(by_hand),
         "superseded_in_cascade": on_ledger(lambda b, s: cascade.reconcile(b, s).resolutions().select("run_id", "bank_txn_id", "code", "resolution")),
-        "rule_lift": lambda spark, d: text(learning.lift(*loaded(spark, d), ledger.truth(spark, d))),
+        "rule_lift": lambda spark, d: text(learning.lift(*loaded(spark, d), known_truth(spark, d))),
         "call_estimate": on_ledger(learning.call_estimate),
     }
 

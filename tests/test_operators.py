@@ -326,3 +326,18 @@ def test_arms_share_the_tiers_that_they_begin_with(spark, monkeypatch):
     arms = {r.arm: r for r in cascade.ablation(b, s, truth, proposals=told).collect()}
     assert {a: (r.posted, r.correct, r.measured) for a, r in arms.items()} == {"T0": (1, 1, True), "T0+T1": (1, 1, True), "T0+T1+T2": (2, 2, True), "T0+T1+T2+T3": (2, 2, True), "T3": (2, 2, True)}
     assert [cuts.count(t) for t in ("tier0", "tier1", "tier2", "tier3")] == [1, 1, 1, 2]
+
+
+def test_lift_asks_for_the_queue_once_and_for_an_alias_only_where_nothing_else_explains(spark, monkeypatch):
+    cuts, asked = [], []
+    keep, named = cascade.shared, rules.alias
+    monkeypatch.setattr(cascade, "shared", lambda df, tag: cuts.append(tag) or keep(df, tag))
+    monkeypatch.setattr(rules, "alias", lambda text, name: asked.append(text) or named(text, name))
+    s = settled(spark, *[(f"S{k}", "upi", 9_000 + 100 * k, 9_000 + 100 * k, f"RZRPY123456{k}", "ACME", 0) for k in range(3)])
+    b = bank(spark, *[(f"B{k}", 9_001 + 100 * k, f"MMTCRRZRPY123456{k}/ACME/BLR", 9) for k in range(3)])  # beyond the window: the queue
+    truth = spark.createDataFrame([("R", f"B{k}", [f"S{k}"]) for k in range(3)], "run_id string, bank_txn_id string, settlement_ids array<string>")
+    r = learning.lift(b, s, truth).first()
+    assert (r.rules, r.posted_before, r.posted_after) == (1, 0, 0)
+    assert cuts.count("exceptions") == cuts.count("decided") == 1 and cuts.count("tier2") == 2
+    two = spark.createDataFrame([("a/b", "P", None), ("a/b", None, None)], "narration string, prefix string, drift bigint")
+    assert [x[0] for x in two.select(asked[0]).collect()] == [None, "a/b"]
